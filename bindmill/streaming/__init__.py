@@ -1,0 +1 @@
+"""All operators of this package are batch transformations; none is stateful."""
