@@ -1,50 +1,46 @@
-"""Declared schemas of the stage tables, and small schema checks."""
+"""Declared schemas of the stage tables (DDL texts for ``spark.read.schema``), and schema checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(spec.split()))
+HOLDINGS = "status STRING, entry_id STRING"
 
-
-HOLDINGS = _struct("status STRING, entry_id STRING")
-
-ENTRY_METADATA = _struct("""
+ENTRY_METADATA = """
     pdb_id STRING,
     rcsb_entry_info STRUCT<experimental_method: STRING, polymer_entity_count_protein: INT,
                            resolution_combined: ARRAY<DOUBLE>>,
-    entities ARRAY<STRUCT<source: ARRAY<STRUCT<organism_scientific_name: STRING>>>>""")
+    entities ARRAY<STRUCT<source: ARRAY<STRUCT<organism_scientific_name: STRING>>>>"""
 
-CHEM_COMPONENT = _struct("""
+CHEM_COMPONENT = """
     ligand_id STRING,
     chem_comp STRUCT<type: STRING, name: STRING>,
     pdbx_chem_comp_descriptor ARRAY<STRUCT<type: STRING, descriptor: STRING>>,
-    mw DOUBLE, rot_bonds INT, h_donors INT, h_acceptors INT""")
+    mw DOUBLE, rot_bonds INT, h_donors INT, h_acceptors INT"""
 
-PROTEIN_DATA = _struct("pdb_id STRING, experimental_method STRING, organism STRING, resolution STRING")
+PROTEIN_DATA = "pdb_id STRING, experimental_method STRING, organism STRING, resolution STRING"
 
-UNIPROT_MAPPINGS = _struct("""
+UNIPROT_MAPPINGS = """
     pdb_id STRING, chain_id STRING, uniprot_id STRING,
-    pdb_start INT, pdb_end INT, uniprot_start INT, uniprot_end INT""")
+    pdb_start INT, pdb_end INT, uniprot_start INT, uniprot_end INT"""
 
-LIGANDS_PER_CHAIN = _struct("""
+LIGANDS_PER_CHAIN = """
     pdb_id STRING, chain_id STRING, sequence_3l_pdb STRING, sequence_3l_std STRING,
-    sequence_1l STRING, positions STRING, ligand_id STRING""")
+    sequence_1l STRING, positions STRING, ligand_id STRING"""
 
-FILTERED_LIGANDS = _struct("""
-    ligand_id STRING, ligand_type STRING, name STRING, canonical_smiles STRING, inchikey STRING""")
+FILTERED_LIGANDS = """
+    ligand_id STRING, ligand_type STRING, name STRING, canonical_smiles STRING, inchikey STRING"""
 
-MOLECULES = _struct("molecule_chembl_id STRING, standard_inchi_key STRING, canonical_smiles STRING")
+MOLECULES = "molecule_chembl_id STRING, standard_inchi_key STRING, canonical_smiles STRING"
 
-TARGETS = _struct("""
-    target_chembl_id STRING, target_type STRING, target_components ARRAY<STRUCT<accession: STRING>>""")
+TARGETS = """
+    target_chembl_id STRING, target_type STRING, target_components ARRAY<STRUCT<accession: STRING>>"""
 
-ACTIVITIES = _struct("""
+ACTIVITIES = """
     molecule_chembl_id STRING, target_chembl_id STRING, target_organism STRING, assay_type STRING,
     type STRING, standard_relation STRING, standard_units STRING,
-    standard_value DOUBLE, pchembl_value DOUBLE""")
+    standard_value DOUBLE, pchembl_value DOUBLE"""
 
 
 def all_text(names: list[str]) -> T.StructType:

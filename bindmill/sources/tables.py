@@ -8,7 +8,7 @@ from bindmill.functions.scalars import entry_of_file
 from bindmill.schema import nan_to_null
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              columns: list[str] | None = None) -> DataFrame:
     """Headered CSV with a declared schema; only empty cells are missing, so the code ``NA`` survives."""
     df = (spark.read.schema(schema).option("header", True).option("nullValue", "")
@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     return nan_to_null(df.select(*columns) if columns else df)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
