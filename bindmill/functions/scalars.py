@@ -37,7 +37,7 @@ def digits_to_int(col: Column | str) -> Column:
 
 def split_list(col: Column | str, sep: str = ",") -> Column:
     """Distinct, trimmed, non-empty items of a delimited text."""
-    items = F.transform(F.split(_c(col), sep), F.trim)
+    items = F.transform(F.split(_c(col), sep), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
 

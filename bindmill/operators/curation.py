@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindmill.operators.grouping import HOT_ROWS, HOT_SHARE, first_per_key, split_hot
+from bindmill.operators.grouping import HOT_ROWS, first_per_key, split_hot
 
 SIGMA_SLACK = 1e-9      # two-value groups have |z| = 1 up to rounding
 DISTANCE_DIGITS = 9     # distances that differ less are ties, settled by the structure order
@@ -39,8 +39,7 @@ class CurationRoles:
         return [F.col(c).asc_nulls_last() for c in self.ties]
 
 
-def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool,
-           hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per (molecule, sequence) with ``z`` and ``z_reason``.
 
     Ordinary interactions are exchanged once and all steps run on that one
@@ -56,7 +55,7 @@ def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool,
     else:
         structure_order = [F.col(roles.accession), *roles.quality, *roles.tie_order]
 
-    ordinary, hot = split_hot(rows, roles.interaction, hot_share, hot_rows)
+    ordinary, hot = split_hot(rows, roles.interaction, hot_rows)
     per_value = [roles.molecule, roles.measure, roles.sequence]
 
     ordinary = first_per_key(ordinary.repartition(*roles.interaction), per_value, structure_order)
@@ -64,12 +63,13 @@ def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool,
     stats = _group_stats(F.col(roles.measure))
     ordinary = ordinary.withColumns({name: stat.over(group) for name, stat in stats.items()})
 
+    curated = _nearest_to_mean(ordinary, roles, structure_order)
+    if hot is None:
+        return curated
     hot = first_per_key(hot, per_value, structure_order)
     hot_stats = hot.groupBy(*roles.interaction).agg(*[stat.alias(name) for name, stat in stats.items()])
-    hot = hot.join(F.broadcast(hot_stats), roles.interaction)
-
-    picked = [_nearest_to_mean(part, roles, structure_order) for part in (ordinary, hot)]
-    return picked[0].unionByName(picked[1])
+    hot = hot.join(F.broadcast(hot_stats), roles.interaction)  # at most HOT_KEYS hashes
+    return curated.unionByName(_nearest_to_mean(hot, roles, structure_order))
 
 
 def _group_stats(measure: Column) -> dict[str, Column]:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_SHARE = 0.001       # a group with more than this share of all rows is hot: at most 1,000 such keys
-HOT_ROWS = 1_000_000    # ... and smaller groups are never hot
+from bindmill.session import durable
+
+HOT_ROWS = 1_000_000    # smaller groups are never hot
+HOT_KEYS = 1_000        # at most this many groups are treated as hot
+SKETCH_SLICES = 64      # the key space is cut into slices, each with its own frequency sketch
+SKETCH_ITEMS = 256
+BINS = 256              # power of two
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -18,18 +23,28 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def split_hot(df: DataFrame, keys: list[str], share: float = HOT_SHARE,
-              min_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups).
+def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with more than ``min_rows`` rows, at most ``HOT_KEYS`` of them.
 
-    Fewer than ``1 / share`` groups can hold more than that share of the rows,
-    so the list of hot keys is small whatever the data, and is broadcast.
+    Frequency sketches find them in one pass that ships a few hundred counters
+    per task and slice, not the keys. A sketch may be off by half a percent of
+    its slice; that only decides which way a group takes, never a result. The
+    list is read once, so that every branch of a plan uses the same one.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    limit = F.greatest(F.lit(min_rows).cast("double"), F.lit(share) * total.scalar())
-    hot = F.broadcast(sizes.filter(F.col("_n") > limit).select(*keys))
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    hashed = df.select(F.xxhash64(*keys).alias("hash"))
+    top = F.call_function("approx_top_k", F.col("hash"), F.lit(SKETCH_ITEMS // 16), F.lit(SKETCH_ITEMS))
+    frequent = hashed.groupBy(F.pmod("hash", F.lit(SKETCH_SLICES)).alias("slice")).agg(top.alias("top"))
+    counted = frequent.select(F.inline("top")).filter(F.col("count") > min_rows)
+    return [row["item"] for row in counted.orderBy(F.desc("count"), "item").take(HOT_KEYS)]
+
+
+def split_hot(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of hot groups or None if there are none)."""
+    hot = hot_hashes(df, keys, min_rows)
+    if not hot:
+        return df, None
+    listed = F.xxhash64(*keys).isin(hot)
+    return df.filter(~listed), df.filter(listed)
 
 
 def duplicate_flags(df: DataFrame, keys: list[str], order: list[str], flag: str = "is_duplicate") -> DataFrame:
@@ -54,29 +69,27 @@ def duplicate_count(df: DataFrame, keys: list[str], name: str = "n_duplicates")
     return sizes.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias(name))
 
 
-def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[str],
-                   bins: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[str]) -> DataFrame:
     """Exact running totals of ``amounts`` along ``order`` within a few groups.
 
     Adds ``<amount>_before`` (sum over smaller values) and ``<amount>_total``.
     ``(groups, order)`` must be unique. The number line of each group is cut
     into bins at approximate quantiles: where the cuts fall only balances the
-    work, sums are exact. One bin of one group is the largest unit of a task.
+    work, sums are exact. The cuts are stored, as both uses must see the same
+    ones. One bin of one group is the largest unit of a task.
     ``groups`` stands for a short list such as splits or column names.
     """
-    steps = [i / bins for i in range(1, bins)]
-    cuts = df.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(order, steps, bins * 20)).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
-    binned = _join_small(df, cuts, groups).withColumn("_bin", below).drop("_cuts")
+    df = df.select(*groups, order, *amounts)
+    steps = [i / BINS for i in range(1, BINS)]
+    cuts = durable(df.groupBy(*groups).agg(
+        F.array_distinct(F.percentile_approx(order, steps, BINS * 10)).alias("_cuts"),
+        *[F.sum(a).alias(f"{a}_total") for a in amounts]))
+    binned = _join_small(df, cuts, groups).withColumn("_bin", _cuts_below("_cuts", order)).drop("_cuts")
 
     sums = binned.groupBy(*groups, "_bin").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     over_bins = W.partitionBy(*groups).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*groups)
-    offsets = sums.select(
-        *groups, "_bin",
-        *[F.coalesce(F.sum(f"_{a}").over(over_bins), F.lit(0)).alias(f"_{a}_offset") for a in amounts],
-        *[F.sum(f"_{a}").over(whole).alias(f"{a}_total") for a in amounts])
+    offsets = sums.select(*groups, "_bin", *[
+        F.coalesce(F.sum(f"_{a}").over(over_bins), F.lit(0)).alias(f"_{a}_offset") for a in amounts])
 
     in_bin = (W.partitionBy(*groups, "_bin").orderBy(order)
               .rowsBetween(W.unboundedPreceding, -1))
@@ -86,6 +99,13 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
     return joined.select(*df.columns, *running, *[f"{a}_total" for a in amounts])
 
 
+def _cuts_below(cuts: str, value: str) -> Column:
+    """How many of the sorted cuts are smaller than the value, by halving steps."""
+    halves = F.array(*[F.lit(BINS >> i) for i in range(1, BINS.bit_length())])
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(
+        F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
+
+
 def _join_small(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     # One row per group or per (group, bin): bounded by the number of groups times the bins.
     return df.join(F.broadcast(side), on)

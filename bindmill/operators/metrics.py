@@ -39,7 +39,7 @@ def roc_auc(df: DataFrame, split: str, label: str, score: str) -> DataFrame:
     """Area under the ROC curve per split; ties count half, one class only gives NULL."""
     per_score = df.filter(F.col(score).isNotNull()).groupBy(split, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    ranked = running_totals(per_score, [split], "_score", ["neg"])
+    ranked = running_totals(per_score, [split], "_score", ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.groupBy(split).agg(F.when(pairs > 0, F.try_divide(wins, pairs)).alias("auc"))

@@ -33,9 +33,9 @@ def fit_scaler(train: DataFrame, features: str = "features") -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features: str = "features") -> DataFrame:
-    fitted = scaler.select("scaler").scalar()
-    centred = F.zip_with(features, fitted["mean"], lambda x, m: x - m)
-    return df.withColumn(features, F.zip_with(centred, fitted["scale"], lambda x, s: x / s))
+    fitted = df.withColumn("_scaler", scaler.select("scaler").scalar())
+    centred = F.zip_with(features, "_scaler.mean", lambda x, m: x - m)
+    return fitted.withColumn(features, F.zip_with(centred, "_scaler.scale", lambda x, s: x / s)).drop("_scaler")
 
 
 def scale_on_train(df: DataFrame, split: str = "split", train: str = "train",

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bindmill.operators.dedup import exact_sample
-from bindmill.operators.profiling import exact_quantiles
+from bindmill.session import durable
 
 MAX_SAMPLE = 5_000
 BLOCK = 128
@@ -22,15 +22,17 @@ SCORE_DIGITS = 6
 FINGERPRINT_BITS = 2048
 
 
-def fingerprint(text: str, k: int = 2, bits: int = FINGERPRINT_BITS) -> Column:
-    """Set bits of a hashed fingerprint of the distinct word k-grams of a whole text."""
-    words = F.split(F.lower(F.col(text)), r"\s+")
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(
-        F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    hashed = F.transform(F.array_distinct(grams), lambda g: (
-        F.conv(F.substring(F.md5(g), 1, 6), 16, 10).cast("int") % bits))
-    return F.array_sort(F.array_distinct(hashed))
+def with_fingerprint(df: DataFrame, text: str, name: str = "bits", k: int = 2,
+                     bits: int = FINGERPRINT_BITS) -> DataFrame:
+    """Adds the set bits of a hashed fingerprint of the distinct word k-grams of a whole text."""
+    rows = df.withColumn("_words", F.split(F.lower(F.col(text)), r"\s+"))
+    count = F.greatest(F.size("_words") - (k - 1), F.lit(0))
+    grams = F.slice("_words", 1, count)
+    for shift in range(1, k):
+        grams = F.zip_with(grams, F.slice("_words", shift + 1, count), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.withColumn("_grams", F.array_distinct(grams))
+    hashed = F.transform("_grams", lambda g: F.conv(F.substring(F.md5(g), 1, 6), 16, 10).cast("int") % bits)
+    return rows.withColumn(name, F.array_sort(F.array_distinct(hashed))).drop("_words", "_grams")
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def pair_scores(df: DataFrame, key: str, vector: str, sample: int, seed: int = 4
         raise ValueError(f"pair scores are limited to samples of {MAX_SAMPLE} rows")
     rows = exact_sample(df, key, sample, seed).select(F.col(key).alias("k"), F.col(vector).alias("v"))
     numbered = rows.withColumn("block", F.floor((F.row_number().over(W.orderBy("k")) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("block").agg(F.collect_list("v").alias("left"))
+    blocks = durable(numbered.groupBy("block").agg(F.collect_list("v").alias("left")))  # at most MAX_SAMPLE vectors
     last = blocks.agg(F.max("block").alias("b")).scalar()
     partners = blocks.select("block", "left", F.explode(F.sequence(F.col("block"), last)).alias("partner"))
     meeting = partners.repartition("block", "partner").join(
@@ -84,12 +86,14 @@ def pair_scores(df: DataFrame, key: str, vector: str, sample: int, seed: int = 4
                 yield pd.DataFrame({"score": values, "n": counts})
 
     counted = meeting.select("block", "partner", "left", "right").mapInPandas(count, "score double, n long")
-    return counted.groupBy("score").agg(F.sum("n").alias("n"))
+    return durable(counted.groupBy("score").agg(F.sum("n").alias("n")))
 
 
 def pair_summary(scores: DataFrame, limits: tuple[float, ...]) -> DataFrame:
-    """Pairs, median score, and per limit the share above it and the ordered-pair count above it."""
-    median = exact_quantiles(scores.withColumn("all", F.lit(1)), ["all"], "score", [0.5], weight="n")
+    """Pairs, median score, and per limit the share above it and the ordered-pair count above it.
+
+    Six decimals leave at most two million distinct scores, so the built-in percentile is bounded.
+    """
     total = F.sum("n")
 
     def tag(limit: float) -> str:
@@ -97,7 +101,7 @@ def pair_summary(scores: DataFrame, limits: tuple[float, ...]) -> DataFrame:
 
     above = {limit: F.coalesce(F.sum(F.when(F.col("score") > limit, F.col("n"))), F.lit(0)) for limit in limits}
     return scores.agg(
-        total.alias("n_pairs"),
+        total.alias("n_pairs"), F.percentile("score", F.lit(0.5), F.col("n")).alias("median_score"),
         *[(n / total).alias(f"share_above_{tag(limit)}") for limit, n in above.items()],
         *[(2 * n).alias(f"ordered_above_{tag(limit)}") for limit, n in above.items()],
-    ).withColumn("median_score", median.select("q50").scalar())
+    )

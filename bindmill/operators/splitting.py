@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindmill.operators.sampling import key_sample_cut, rank_tokens, up_to
+from bindmill.session import durable
 
 BLIND_SHARE = 0.15
 TEST_SHARE = 0.10
@@ -44,8 +45,11 @@ def random_parts(df: DataFrame, key: list[str], seed: int = 42, test: float = TE
 
 
 def six_way_split(df: DataFrame, ligand: str, protein: str, key: list[str], seed: int = 42) -> DataFrame:
-    """train, val, test, blind, blind_protein and blind_ligand in one ``split`` column."""
-    classed = blind_classes(df, ligand, protein, seed=seed, name="_class")
+    """train, val, test, blind, blind_protein and blind_ligand in one ``split`` column.
+
+    The rows are stored first, because every cut reads their keys.
+    """
+    classed = blind_classes(durable(df), ligand, protein, seed=seed, name="_class")
     rest = random_parts(classed.filter("_class = 'rest'"), key, seed=seed)
     blind = classed.filter("_class != 'rest'").withColumn("split", F.col("_class"))
     return rest.unionByName(blind).drop("_class")

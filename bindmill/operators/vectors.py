@@ -67,8 +67,9 @@ def centred(df: DataFrame, vector: str, name: str = "centred") -> DataFrame:
     """Vectors minus the overall mean vector, as ML vectors."""
     entries = F.array_sort(F.collect_list(F.struct("dim", "mean")))
     mean = dimension_stats(df, vector).agg(F.transform(entries, lambda e: e["mean"]).alias("m")).scalar()
-    moved = F.zip_with(vector, mean, lambda x, m: x.cast("double") - m)
-    return df.filter(F.col(vector).isNotNull()).withColumn(name, array_to_vector(moved))
+    moved = F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("_mean", mean)
+    return rows.withColumn(name, array_to_vector(moved)).drop("_mean")
 
 
 def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, PCAModel]:

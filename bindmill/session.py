@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +28,25 @@ def build_session(app: str = "bindmill", master: str | None = None,
     return builder.getOrCreate()
 
 
-def _checkpoint_dir_ready(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bindmill-checkpoint-"))
-    else:
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="bindmill-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
-    Used where one frame feeds several jobs (scaler fit, model fit, scoring):
-    a lost executor then re-reads files instead of recomputing the lineage.
+    Used where one frame feeds several jobs (split cuts, scaler and model fits,
+    scoring): later jobs read only the columns they need, and a lost executor
+    re-reads files instead of recomputing the lineage.
     """
-    _checkpoint_dir_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/bindmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
