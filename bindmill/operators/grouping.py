@@ -75,11 +75,11 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
     Adds ``<amount>_before`` (sum over smaller values) and ``<amount>_total``.
     ``(groups, order)`` must be unique. The number line of each group is cut
     into bins at approximate quantiles: where the cuts fall only balances the
-    work, sums are exact. The cuts are stored, as both uses must see the same
-    ones. One bin of one group is the largest unit of a task.
+    work, sums are exact. Rows and cuts are stored, as both passes must see the
+    same ones. One bin of one group is the largest unit of a task.
     ``groups`` stands for a short list such as splits or column names.
     """
-    df = df.select(*groups, order, *amounts)
+    df = durable(df.select(*groups, order, *amounts))
     steps = [i / BINS for i in range(1, BINS)]
     cuts = durable(df.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx(order, steps, BINS * 10)).alias("_cuts"),

@@ -3,11 +3,12 @@
 Keys are ordered by a hash token. The token at a given rank is found from
 counts per token prefix (at most 65,536 rows, whatever the data) and a ranking
 inside the one prefix that holds the rank. Membership is then a comparison of
-each row's own token with that token: no join, hence nothing to skew.
+each row's own token with that token, a literal: no join, nothing to skew.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -22,50 +23,50 @@ def token(columns: list[str], seed: int | str) -> Column:
 
 
 def rank_tokens(keys: DataFrame, columns: list[str], seed: int | str,
-                ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row with the number of keys ``n`` and, per name, the token at that rank.
+                ranks: Callable[[int], dict[str, int]]) -> dict[str, str | None]:
+    """The tokens at the given ranks; ``ranks`` maps the number of keys to a rank per name.
 
-    ``ranks`` maps a name to a function from ``n`` to a rank. Rank 0 gives NULL.
-    The key columns must be unique and free of NULL.
+    Rank 0 gives None. The key columns must be unique and free of NULL.
     """
-    tokens = keys.select(token(columns, seed).alias("token"))
-    prefix = F.substring("token", 1, PREFIX_DIGITS)
-    counts = tokens.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("size"))
-    upto = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    places = counts.select("prefix", F.sum("size").over(upto).alias("last"), "size",
-                           F.sum("size").over(everything).alias("n"))
-    wanted = places.select("*", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
-        for name, rank in ranks.items()])))
-    inside = (F.col("rank") > F.col("last") - F.col("size")) & (F.col("rank") <= F.col("last"))
-    # One row per name: the prefix holding the rank, and the rank inside it.
-    wanted = wanted.filter(inside).select(
-        "name", "prefix", (F.col("rank") - F.col("last") + F.col("size")).alias("rank"))
-
-    near = tokens.withColumn("prefix", prefix).join(F.broadcast(wanted), "prefix")
-    ranked = near.withColumn("at", F.row_number().over(W.partitionBy("name").orderBy("token")))
-    found = ranked.filter(F.col("at") == F.col("rank"))
-    cuts = found.agg(*[F.max(F.when(F.col("name") == name, F.col("token"))).alias(name) for name in ranks])
-    total = counts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))
-    return cuts.withColumn("n", total.scalar())
-
-
-def up_to(columns: list[str], seed: int | str, cut: Column) -> Column:
+    tokens = keys.select(token(columns, seed).alias("token")).withColumn(
+        "prefix", F.substring("token", 1, PREFIX_DIGITS))
+    sizes = tokens.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).orderBy("prefix").collect()
+    wanted = ranks(sum(row["size"] for row in sizes))
+
+    places, last = {}, 0
+    for row in sizes:
+        for name, rank in wanted.items():
+            if last < rank <= last + row["size"]:
+                places[name] = (row["prefix"], rank - last)
+        last += row["size"]
+    if not places:
+        return {name: None for name in wanted}
+
+    near = tokens.filter(F.col("prefix").isin(sorted({prefix for prefix, _ in places.values()})))
+    ranked = near.withColumn("at", F.row_number().over(W.partitionBy("prefix").orderBy("token")))
+    chosen = F.lit(False)
+    for prefix, at in set(places.values()):
+        chosen = chosen | ((F.col("prefix") == prefix) & (F.col("at") == at))
+    found = {(r["prefix"], r["at"]): r["token"] for r in ranked.filter(chosen).collect()}  # one row per name
+    return {name: found.get(places.get(name)) for name in wanted}
+
+
+def up_to(columns: list[str], seed: int | str, cut: str | None) -> Column:
     """Whether a row's key is among the chosen ones; missing keys never are."""
-    present = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        present = present & F.col(c).isNotNull()
-    return F.coalesce(present & (token(columns, seed) <= cut), F.lit(False))
+    if cut is None:
+        return F.lit(False)
+    chosen = token(columns, seed) <= cut
+    for c in columns:
+        chosen = F.col(c).isNotNull() & chosen
+    return chosen
 
 
-def key_sample_cut(df: DataFrame, column: str, share: float, seed: int | str) -> DataFrame:
+def key_sample_cut(df: DataFrame, column: str, share: float, seed: int | str) -> str | None:
     """Cut token of a seeded sample of ``floor(share * n)`` distinct keys."""
     keys = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return rank_tokens(keys, [column], seed, {"cut": lambda n: F.floor(F.lit(share) * n)})
+    return rank_tokens(keys, [column], seed, lambda n: {"cut": math.floor(share * n)})["cut"]
 
 
 def sampled_keys(df: DataFrame, column: str, share: float, seed: int | str) -> DataFrame:
     """The sampled keys themselves."""
-    cut = key_sample_cut(df, column, share, seed).select("cut").scalar()
-    return df.select(column).distinct().filter(up_to([column], seed, cut))
+    return df.filter(up_to([column], seed, key_sample_cut(df, column, share, seed))).select(column).distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bindmill.functions.scalars import put_field
 from bindmill.operators.grouping import first_per_key
-from bindmill.sources.records import LINE_ORDER
+from bindmill.session import durable
 
 CHAIN = ["entry_id", "chain_id"]
 
@@ -16,31 +16,40 @@ def with_standard(atoms: DataFrame, residues: DataFrame) -> DataFrame:
     return atoms.join(F.broadcast(residues), "residue", "left")
 
 
-def ambiguous_chains(atoms: DataFrame, residues: DataFrame, threshold: float = 0.0) -> DataFrame:
+def residue_sites(atoms: DataFrame, residues: DataFrame) -> DataFrame:
+    """One row per (entry, chain, record, position, residue) with first line and line count.
+
+    A residue has many atom lines; all chain tables are derived from this
+    reduced table, so the lines themselves are exchanged once, pre-aggregated.
+    """
+    sites = atoms.groupBy(*CHAIN, "record", "position", "residue").agg(
+        F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n_lines"))
+    return with_standard(sites, residues)
+
+
+def ambiguous_chains(sites: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Chains whose unknown-residue lines exceed a share of their valid positions (at least one)."""
-    known = with_standard(atoms.filter("record = 'ATOM'"), residues)
-    counts = known.groupBy(*CHAIN).agg(
-        F.count_if(F.col("standard").isNull()).alias("n_unknown"),
-        F.count_distinct(F.when(F.col("standard").isNotNull(), F.col("position"))).alias("n_valid"))
-    share = F.col("n_unknown") / F.greatest(F.col("n_valid"), F.lit(1))
-    return counts.filter(share > threshold)
+    known = F.col("standard").isNotNull()
+    positions = sites.filter("record = 'ATOM'").groupBy(*CHAIN, "position").agg(
+        F.sum(F.when(~known, F.col("n_lines")).otherwise(0)).alias("unknown"), F.max(known).alias("valid"))
+    counts = positions.groupBy(*CHAIN).agg(
+        F.sum("unknown").alias("n_unknown"), F.count_if("valid").alias("n_valid"))
+    return counts.filter(F.col("n_unknown") / F.greatest(F.col("n_valid"), F.lit(1)) > threshold)
 
 
-def first_residues(atoms: DataFrame, residues: DataFrame) -> DataFrame:
+def first_residues(sites: DataFrame) -> DataFrame:
     """First accepted residue at each (entry, chain, position), in line order."""
-    known = with_standard(atoms.filter("record = 'ATOM'"), residues).filter(F.col("standard").isNotNull())
-    order = [F.col(c) for c in [*LINE_ORDER, "residue"]]
-    return first_per_key(known, [*CHAIN, "position"], order)
+    known = sites.filter((F.col("record") == "ATOM") & F.col("standard").isNotNull())
+    return first_per_key(known, [*CHAIN, "position"], [F.col("line_no"), F.col("residue")])
 
 
-def assemble_chains(atoms: DataFrame, residues: DataFrame) -> DataFrame:
+def assemble_chains(sites: DataFrame) -> DataFrame:
     """Sequence texts per chain. The four-column residue number bounds a chain to 11,000 positions."""
-    first = first_residues(atoms, residues)
-    item = F.struct(*LINE_ORDER, "position", "residue", "standard", "letter")
-    ordered = first.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(item)).alias("r"))
+    item = F.struct("line_no", "position", "residue", "standard", "letter")
+    ordered = first_residues(sites).groupBy(*CHAIN).agg(F.array_sort(F.collect_list(item)).alias("r"))
 
-    def joined(part: str, sep: str):
-        return F.array_join(F.transform("r", lambda x: x[part]), sep)
+    def joined(part: str, sep: str) -> Column:
+        return F.array_join(F.col("r")[part], sep)
 
     return ordered.select(
         *CHAIN,
@@ -50,33 +59,36 @@ def assemble_chains(atoms: DataFrame, residues: DataFrame) -> DataFrame:
         joined("position", "-").alias("positions"))
 
 
-def ligand_sets(atoms: DataFrame) -> DataFrame:
+def ligand_sets(sites: DataFrame) -> DataFrame:
     """Sorted distinct hetero codes of each file; codes have three characters, which bounds the set."""
-    hetero = atoms.filter("record = 'HETATM'").select("entry_id", "residue").distinct()
-    return hetero.groupBy("entry_id").agg(F.array_join(F.sort_array(F.collect_list("residue")), ",").alias("ligand_id"))
+    hetero = sites.filter("record = 'HETATM'")
+    return hetero.groupBy("entry_id").agg(
+        F.array_join(F.sort_array(F.collect_set("residue")), ",").alias("ligand_id"))
 
 
 def ligands_per_chain(atoms: DataFrame, residues: DataFrame, threshold: float = 0.0,
                       drop_ambiguous: bool = True) -> DataFrame:
     """Chain table. Every chain carries the ligands of its whole file."""
-    chains = assemble_chains(atoms, residues)
+    sites = durable(residue_sites(atoms, residues))
+    chains = assemble_chains(sites)
     if drop_ambiguous:
-        chains = chains.join(ambiguous_chains(atoms, residues, threshold), CHAIN, "left_anti")
+        chains = chains.join(ambiguous_chains(sites, threshold), CHAIN, "left_anti")
     ligands = F.coalesce("ligand_id", F.lit("NO_LIGAND")).alias("ligand_id")
-    return chains.join(ligand_sets(atoms), "entry_id", "left").select(
+    return chains.join(ligand_sets(sites), "entry_id", "left").select(
         F.col("entry_id").alias("pdb_id"), "chain_id", "sequence_3l_pdb", "sequence_3l_std",
         "sequence_1l", "positions", ligands)
 
 
 def chain_lines(atoms: DataFrame, residues: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Record lines per kept chain: its own atoms with standard residue names, and all hetero lines of the file."""
-    kept = (first_residues(atoms, residues).select(*CHAIN).distinct()
-            .join(ambiguous_chains(atoms, residues, threshold), CHAIN, "left_anti"))
+    sites = durable(residue_sites(atoms, residues))
+    kept = durable(first_residues(sites).select(*CHAIN).distinct().join(
+        ambiguous_chains(sites, threshold), CHAIN, "left_anti"))
     own = with_standard(atoms.filter("record = 'ATOM'"), residues).join(kept, CHAIN, "left_semi")
     renamed = F.when(F.col("standard").isNotNull(), put_field("value", 18, 20, F.col("standard")))
     own = own.withColumn("value", F.coalesce(renamed, F.col("value")))
     hetero = atoms.filter("record = 'HETATM'").drop("chain_id").join(kept, "entry_id")
-    columns = [F.col("entry_id").alias("pdb_id"), "chain_id", *LINE_ORDER, "value"]
+    columns = [F.col("entry_id").alias("pdb_id"), "chain_id", "line_no", "value"]
     return own.select(*columns).unionByName(hetero.select(*columns))
 
 
@@ -86,4 +98,4 @@ def pool_tokens(tokens: DataFrame, key: str, position: str, length: str, vector:
     long = inside.select(key, F.posexplode(vector).alias("at", "x"))
     means = long.groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     entries = F.array_sort(F.collect_list(F.struct("at", "x")))
-    return means.groupBy(key).agg(F.transform(entries, lambda e: e["x"]).alias(vector))
+    return means.groupBy(key).agg(entries["x"].alias(vector))

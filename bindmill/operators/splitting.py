@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindmill.operators.sampling import key_sample_cut, rank_tokens, up_to
@@ -12,8 +14,10 @@ TEST_SHARE = 0.10
 VALIDATION_SHARE = 0.1111  # of what is left after the test rows
 
 
-def _test_size(n: Column, share: float) -> Column:
-    return F.ceil(F.lit(share) * n)
+def part_sizes(n: int, test: float = TEST_SHARE, validation: float = VALIDATION_SHARE) -> tuple[int, int]:
+    """Rows of the test and validation parts; each share is rounded up, the second is of the remainder."""
+    n_test = math.ceil(test * n)
+    return n_test, math.ceil(validation * (n - n_test))
 
 
 def blind_classes(df: DataFrame, ligand: str, protein: str, share: float = BLIND_SHARE,
@@ -23,24 +27,21 @@ def blind_classes(df: DataFrame, ligand: str, protein: str, share: float = BLIND
     Rows that lack a key are left out.
     """
     rows = df.na.drop(subset=[ligand, protein])
-    cuts = {c: key_sample_cut(rows, c, share, seed).select("cut").scalar() for c in (ligand, protein)}
-    ligand_in, protein_in = (up_to([c], seed, cuts[c]) for c in (ligand, protein))
+    ligand_in, protein_in = (up_to([c], seed, key_sample_cut(rows, c, share, seed)) for c in (ligand, protein))
     label = (F.when(ligand_in & protein_in, "blind").when(protein_in, "blind_protein")
              .when(ligand_in, "blind_ligand").otherwise("rest"))
     return rows.withColumn(name, label)
 
 
 def random_parts(df: DataFrame, key: list[str], seed: int = 42, test: float = TEST_SHARE,
-                 validation: float | None = VALIDATION_SHARE, name: str = "split") -> DataFrame:
+                 validation: float = VALIDATION_SHARE, name: str = "split") -> DataFrame:
     """train / val / test with exact counts; ``key`` identifies a row."""
-    def test_rank(n: Column) -> Column:
-        return _test_size(n, test)
-
-    def val_rank(n: Column) -> Column:
-        return test_rank(n) + _test_size(n - test_rank(n), validation or 0.0)
+    def ranks(n: int) -> dict[str, int]:
+        n_test, n_val = part_sizes(n, test, validation)
+        return {"test": n_test, "val": n_test + n_val}
 
-    cuts = rank_tokens(df, key, seed, {"test": test_rank, "val": val_rank})
-    in_test, in_val = (up_to(key, seed, cuts.select(c).scalar()) for c in ("test", "val"))
+    cuts = rank_tokens(df, key, seed, ranks)
+    in_test, in_val = (up_to(key, seed, cuts[c]) for c in ("test", "val"))
     return df.withColumn(name, F.when(in_test, "test").when(in_val, "val").otherwise("train"))
 
 
@@ -81,6 +82,6 @@ def overlap_report(df: DataFrame, axes: dict[str, Column], split: str, base: lis
 def leakage_simulation(df: DataFrame, key: list[str], axes: dict[str, Column], test: float = 0.2,
                        seed: int = 42) -> DataFrame:
     """Keys per axis that a plain random split puts on both sides."""
-    parts = random_parts(df, key, seed=seed, test=test, validation=None)
+    parts = random_parts(df, key, seed=seed, test=test, validation=0.0)
     report = overlap_report(parts, axes, "split", ["train", "val"], ["test"])
     return report.select("axis", F.col("n_shared").alias("n_overlap"))

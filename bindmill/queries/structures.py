@@ -12,22 +12,25 @@ from bindmill.functions.scalars import fixed_field
 from bindmill.operators import cascade, sequences
 from bindmill.queries.common import big, r6, table
 from bindmill.schema import CHEM_COMPONENT, ENTRY_METADATA
+from bindmill.session import durable
 from bindmill.sources import metadata, records
 from bindmill.sources.sinks import fasta_lines
 
 RESIDUES = ["ALA", "MSE", "HID", "GLY", "UNK", "TRP", "SEP", "LYS"]
 LIGANDS = ["HOH", "ATP", "NAG", "ZN", "HEM"]
+CIF_LONG = 104_850
 
 
 def _pick(values: list[str], key: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.col(key), F.lit(len(values))).cast("int"))
 
 
-def _files(lines: DataFrame, extension: str) -> DataFrame:
-    entry = F.col("l_orderkey").cast("string")
-    return lines.select(F.concat(entry, F.lit(f".{extension}")).alias("file_name"), entry.alias("entry_id"),
-                        F.lit(0).cast("long").alias("block"),
-                        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), "value")
+def _files(lines: DataFrame, extension: str, entry: str = "l_orderkey") -> DataFrame:
+    """The lines as a stored record table, as a scan of record files would give."""
+    entry = F.col(entry).cast("string")
+    return durable(lines.select(
+        F.concat(entry, F.lit(f".{extension}")).alias("file_name"), entry.alias("entry_id"),
+        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("line_no"), "value"))
 
 
 def _atom_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +51,10 @@ def _atoms(spark: SparkSession, folder: str) -> DataFrame:
     return records.parse_atoms(_atom_lines(spark, folder))
 
 
+def _sites(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.residue_sites(_atoms(spark, folder), residue_table(spark))
+
+
 def _count(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
@@ -76,15 +83,15 @@ def standard_residues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ambiguous_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return sequences.ambiguous_chains(_atoms(spark, folder), residue_table(spark))
+    return sequences.ambiguous_chains(_sites(spark, folder))
 
 
 def assembled_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return sequences.assemble_chains(_atoms(spark, folder), residue_table(spark))
+    return sequences.assemble_chains(_sites(spark, folder))
 
 
 def ligand_sets(spark: SparkSession, folder: str) -> DataFrame:
-    return sequences.ligand_sets(_atoms(spark, folder))
+    return sequences.ligand_sets(_sites(spark, folder))
 
 
 def chain_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +101,7 @@ def chain_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fasta_records(spark: SparkSession, folder: str) -> DataFrame:
-    chains = sequences.assemble_chains(_atoms(spark, folder), residue_table(spark))
+    chains = sequences.assemble_chains(_sites(spark, folder))
     return fasta_lines(chains.withColumnRenamed("entry_id", "pdb_id"))
 
 
@@ -150,14 +157,13 @@ def admitted_cif(spark: SparkSession, folder: str) -> DataFrame:
     """Loop rows with a header per file; files with a two-letter chain name are rejected."""
     lines = table(spark, folder, "lineitem")
     names = ["group_PDB", "id", "label_comp_id", "label_asym_id", "auth_seq_id", "auth_comp_id", "auth_asym_id"]
-    chain = F.when(F.col("l_tax") == 0.08, "AA").otherwise(_pick(["A", "B", "C"], "l_linenumber"))
+    chain = F.when(F.col("l_extendedprice") > CIF_LONG, "AA").otherwise(_pick(["A", "B", "C"], "l_linenumber"))
     row = F.concat_ws(" ", F.lit("ATOM"), F.col("l_linenumber").cast("string"), _pick(RESIDUES, "l_partkey"),
-                      F.lit("XX"), F.col("l_suppkey").cast("string"), _pick(RESIDUES, "l_partkey"), chain)
-    rows = _files(lines.withColumn("value", row), "cif")
+                      F.lit("XX"), F.col("l_orderkey").cast("string"), _pick(RESIDUES, "l_partkey"), chain)
+    rows = _files(lines.withColumn("value", row), "cif", "l_suppkey")
     head = F.posexplode(F.array(*[F.lit(f"_atom_site.{n}") for n in names]))
     heads = rows.select("file_name", "entry_id").distinct().select("file_name", "entry_id", head.alias("at", "value"))
-    heads = heads.select("file_name", "entry_id", F.lit(0).cast("long").alias("block"),
-                         (F.col("at") - 100).cast("long").alias("seq"), "value")
+    heads = heads.select("file_name", "entry_id", (F.col("at") - 100).cast("long").alias("line_no"), "value")
     atoms = records.parse_cif_atoms(rows.unionByName(heads))
     return records.admit_cif(atoms).groupBy("entry_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("chain_id").alias("last_chain"), F.min("residue").alias("first_residue"),
@@ -318,9 +324,9 @@ SELECT entry_id, count(*) AS n FROM a WHERE record = 'ATOM' OR residue NOT IN ('
     "unmapped_entries": """
 SELECT l_orderkey::VARCHAR AS pdb_id FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_tax <> 0 AND l_quantity > 1) = 0""",
     "admitted_cif": f"""
-SELECT l_orderkey::VARCHAR AS entry_id, count(*) AS n, max({_list(["A", "B", "C"], "l_linenumber")}) AS last_chain,
-  min({_list(RESIDUES, "l_partkey")}) AS first_residue, max(l_suppkey) AS last_position
-FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_tax = 0.08::DOUBLE) = 0""",
+SELECT l_suppkey::VARCHAR AS entry_id, count(*) AS n, max({_list(["A", "B", "C"], "l_linenumber")}) AS last_chain,
+  min({_list(RESIDUES, "l_partkey")}) AS first_residue, max(l_orderkey) AS last_position
+FROM lineitem GROUP BY l_suppkey HAVING max(l_extendedprice) <= {CIF_LONG}""",
     "entry_metadata": """
 SELECT o_orderkey::VARCHAR AS pdb_id, 'X-RAY' AS experimental_method,
   CASE WHEN o_totalprice >= 300000 THEN 'Unknown' WHEN o_totalprice > 250000 THEN 'Homo sapiens'

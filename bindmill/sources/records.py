@@ -1,9 +1,9 @@
 """Structure record files: scans and parsers of fixed-width and loop records.
 
-A record frame has ``file_name``, ``entry_id``, ``block``, ``seq`` and ``value``.
-``(block, seq)`` is the order of a line inside its file: ``block`` is the byte
-offset of the input split and ``seq`` grows inside a split. Files are therefore
-split over tasks like any other text, and no file is read whole by one task.
+A record frame has ``file_name``, ``entry_id``, ``line_no`` and ``value``.
+``line_no`` orders the lines of a file: the byte offset of the input split in
+the upper bits, the row's place in its task in the lower ones. Files are
+therefore split over tasks like any other text, and none is read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from bindmill.functions.scalars import digits_to_int, entry_of_file, fixed_field
 
-LINE_ORDER = ["block", "seq"]
+ROW_BITS = 31  # rows of one task; leaves offsets up to 4 GiB
 
 
 def read_records(spark: SparkSession, path: str, extension: str) -> DataFrame:
@@ -20,8 +20,8 @@ def read_records(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return lines.select(
         F.col("_metadata.file_name").alias("file_name"),
         entry_of_file(F.col("_metadata.file_name")).alias("entry_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
+        (F.col("_metadata.file_block_start") * (1 << ROW_BITS)
+         + F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)).alias("line_no"),
         "value",
     )
 
@@ -61,21 +61,20 @@ def numbering_gate(lines: DataFrame) -> DataFrame:
 
 
 def parse_dbref(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Sequence-database references of UniProt kind.
+    """Sequence-database references of UniProt kind: at least seven tokens, one of them ``UNP``.
 
     ``strict`` leaves out the two-line variants of the record, whose columns differ.
     """
-    token = F.split(F.trim(F.col("value")), r"\s+")
-    parsed = lines.filter(F.col("value").startswith("DBREF")).withColumn("_t", token)
-    kept = (F.size("_t") >= 7) & F.array_contains("_t", "UNP")
-    if strict:
-        kept = kept & (F.get("_t", F.lit(0)) == "DBREF")
+    line = F.col("value")
+    kept = line.startswith("DBREF ") if strict else line.startswith("DBREF")
+    kept = kept & line.rlike(r"^\s*(\S+\s+){6}\S") & line.rlike(r"(^|\s)UNP(\s|$)")
+    parsed = lines.filter(kept).withColumn("_t", F.split(F.trim(line), r"\s+"))
     after = F.array_position("_t", "UNP").cast("int")  # 1-based place of the mark = 0-based place after it
 
     def number(i: Column) -> Column:
         return digits_to_int(F.get("_t", i))
 
-    return parsed.filter(kept).select(
+    return parsed.select(
         F.col("entry_id").alias("pdb_id"),
         F.get("_t", F.lit(2)).alias("chain_id"),
         F.get("_t", after).alias("uniprot_id"),
@@ -100,7 +99,7 @@ def parse_cif_atoms(lines: DataFrame) -> DataFrame:
     value = F.trim(F.col("value"))
     heads = lines.filter(value.startswith("_atom_site.")).select(
         "file_name", F.regexp_extract(value, r"^_atom_site\.(\S+)", 1).alias("name"),
-        (F.row_number().over(W.partitionBy("file_name").orderBy(*LINE_ORDER)) - 1).alias("at"))
+        (F.row_number().over(W.partitionBy("file_name").orderBy("line_no")) - 1).alias("at"))
     places = heads.groupBy("file_name").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("_at"))
     rows = (lines.filter(_is_coordinate(F.col("value")))
@@ -113,7 +112,7 @@ def parse_cif_atoms(lines: DataFrame) -> DataFrame:
         return F.coalesce(cell(f"auth_{name}"), cell(f"label_{name}"))
 
     return rows.select(
-        "file_name", "entry_id", "block", "seq",
+        "file_name", "entry_id", "line_no",
         cell("group_PDB").alias("record"), author("comp_id").alias("residue"),
         author("asym_id").alias("chain_id"), author("seq_id").alias("position"))
 

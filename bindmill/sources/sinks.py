@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from bindmill.sources.records import LINE_ORDER
-
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite")
@@ -33,7 +31,7 @@ def write_text(lines: DataFrame, path: str) -> None:
 def write_chain_files(chain_lines: DataFrame, path: str) -> None:
     """One ordered text file per (entry, chain); a chain holds at most 99,999 numbered atoms."""
     keys = ["pdb_id", "chain_id"]
-    (chain_lines.repartition(*keys).sortWithinPartitions(*keys, *LINE_ORDER)
+    (chain_lines.repartition(*keys).sortWithinPartitions(*keys, "line_no")
      .select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path))
 
 
