@@ -93,15 +93,6 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
 
 
-def bit_tanimoto(a, b) -> Column:
-    """Tanimoto similarity of two bit vectors stored as arrays of 64-bit words."""
-    both = F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: F.bit_count(x.bitwiseAND(y))),
-                       F.lit(0), lambda acc, x: acc + x)
-    either = F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: F.bit_count(x.bitwiseOR(y))),
-                         F.lit(0), lambda acc, x: acc + x)
-    return F.try_divide(both.cast("double"), either.cast("double"))
-
-
 def set_tanimoto(a, b) -> Column:
     """Tanimoto similarity of two arrays read as sets."""
     shared = F.size(F.array_intersect(_c(a), _c(b))).cast("double")

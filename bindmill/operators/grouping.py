@@ -11,6 +11,7 @@ HOT_KEYS = 1_000        # at most this many groups are treated as hot
 SKETCH_SLICES = 64      # the key space is cut into slices, each with its own frequency sketch
 SKETCH_ITEMS = 256
 BINS = 256              # power of two
+FEW_GROUPS = 1_000      # times BINS: the largest broadcast of running totals
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -77,14 +78,16 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
     into bins at approximate quantiles: where the cuts fall only balances the
     work, sums are exact. Rows and cuts are stored, as both passes must see the
     same ones. One bin of one group is the largest unit of a task.
-    ``groups`` stands for a short list such as splits or column names.
+    ``groups`` usually stands for a few splits or columns; cuts and offsets are
+    then broadcast, else joined.
     """
     df = durable(df.select(*groups, order, *amounts))
     steps = [i / BINS for i in range(1, BINS)]
     cuts = durable(df.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx(order, steps, BINS * 10)).alias("_cuts"),
         *[F.sum(a).alias(f"{a}_total") for a in amounts]))
-    binned = _join_small(df, cuts, groups).withColumn("_bin", _cuts_below("_cuts", order)).drop("_cuts")
+    few = cuts.count() <= FEW_GROUPS
+    binned = _attach(df, cuts, groups, few).withColumn("_bin", _cuts_below("_cuts", order)).drop("_cuts")
 
     sums = binned.groupBy(*groups, "_bin").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     over_bins = W.partitionBy(*groups).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
@@ -93,7 +96,7 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
 
     in_bin = (W.partitionBy(*groups, "_bin").orderBy(order)
               .rowsBetween(W.unboundedPreceding, -1))
-    joined = _join_small(binned, offsets, [*groups, "_bin"])
+    joined = _attach(binned, offsets, [*groups, "_bin"], few)
     running = [(F.col(f"_{a}_offset") + F.coalesce(F.sum(a).over(in_bin), F.lit(0))).alias(f"{a}_before")
                for a in amounts]
     return joined.select(*df.columns, *running, *[f"{a}_total" for a in amounts])
@@ -106,6 +109,6 @@ def _cuts_below(cuts: str, value: str) -> Column:
         F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
 
 
-def _join_small(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
-    # One row per group or per (group, bin): bounded by the number of groups times the bins.
-    return df.join(F.broadcast(side), on)
+def _attach(df: DataFrame, side: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """Join a side with at most ``BINS`` rows per group; broadcast it only for few groups."""
+    return df.join(F.broadcast(side) if few else side, on)

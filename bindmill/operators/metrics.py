@@ -49,7 +49,7 @@ def evaluate(df: DataFrame, split: str, label: str, score: str, threshold: float
     """All metrics of all splits."""
     scored = predict(df, score, "_predicted", threshold)
     return threshold_metrics(scored, split, label, "_predicted").join(
-        F.broadcast(roc_auc(df, split, label, score)), split, "left")  # one row per split
+        roc_auc(df, split, label, score), split, "left")
 
 
 def class_report(df: DataFrame, split: str, label: str, prediction: str) -> DataFrame:

@@ -59,7 +59,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = exact_quantiles(long, ["column"], "value", QUARTILES)
-    return moments.join(F.broadcast(quartiles), "column", "left")  # one row per column
+    return moments.join(quartiles, "column", "left")
 
 
 def null_shares(df: DataFrame, columns: list[str] | None = None, top: int = 30) -> DataFrame:

@@ -26,7 +26,8 @@ def _pick(values: list[str], key: str) -> Column:
 
 
 def _files(lines: DataFrame, extension: str, entry: str = "l_orderkey") -> DataFrame:
-    """The lines as a stored record table, as a scan of record files would give."""
+    """The lines as a stored record table, lines of one file together, as a scan of record files would give."""
+    lines = lines.repartition(entry)
     entry = F.col(entry).cast("string")
     return durable(lines.select(
         F.concat(entry, F.lit(f".{extension}")).alias("file_name"), entry.alias("entry_id"),
