@@ -76,21 +76,19 @@ def test_labels(linked, branch, kinds):
         flows.label_rows(linked, "other")
 
 
-def _ligand_features(frames):
-    for f in frames:
-        yield f.assign(ligand_features=f["canonical_smiles"].map(lambda s: [float(sum(map(ord, s)) % 17), float(len(s))]))
-
-
-def _protein_features(frames):
-    for f in frames:
-        yield f.assign(protein_features=f["sequence_1l"].map(lambda s: [s.count(c) / len(s) for c in "ALKG"]))
+def test_features_split_and_scores(linked):
+    def ligand_features(frames):
+        for f in frames:
+            yield f.assign(ligand_features=f["canonical_smiles"].map(lambda s: [float(sum(map(ord, s)) % 17), float(len(s))]))
 
+    def protein_features(frames):
+        for f in frames:
+            yield f.assign(protein_features=f["sequence_1l"].map(lambda s: [s.count(c) / len(s) for c in "ALKG"]))
 
-def test_features_split_and_scores(linked):
     labels = flows.curated_labels(linked, "pki")
     features = flows.one_organism(flows.feature_table(
-        labels, _ligand_features, "canonical_smiles string, ligand_features array<double>",
-        _protein_features, "sequence_1l string, protein_features array<double>"))
+        labels, ligand_features, "canonical_smiles string, ligand_features array<double>",
+        protein_features, "sequence_1l string, protein_features array<double>"))
     rows = flows.split_features(features, ["ligand_features", "protein_features"])
     assert rows.count() == features.count()
     assert set(r.split for r in rows.select("split").distinct().collect()) <= set(flows.SPLITS)
