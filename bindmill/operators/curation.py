@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindmill.operators.grouping import HOT_ROWS, first_per_key, split_hot
+from bindmill.session import durable
 
 SIGMA_SLACK = 1e-9      # two-value groups have |z| = 1 up to rounding
 DISTANCE_DIGITS = 9     # distances that differ less are ties, settled by the structure order
@@ -97,6 +98,7 @@ def curation_report(curated: DataFrame, roles: CurationRoles) -> DataFrame:
     """Counters of what is left after curation: repeated variants, repeated
     interactions, and accession-molecule pairs with several sequences."""
     variant = [roles.accession, *roles.interaction, roles.entry, roles.chain]
+    curated = durable(curated.select(*variant))  # read once per check
 
     def repeated(keys: list[str], name: str) -> DataFrame:
         sizes = curated.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

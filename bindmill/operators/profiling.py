@@ -79,20 +79,21 @@ def iqr_bounds(df: DataFrame, column: str) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
-    bounds = iqr_bounds(df, column).select(F.struct("low", "high").alias("b")).scalar()
-    return df.filter((F.col(column) < bounds["low"]) | (F.col(column) > bounds["high"]))
+    """Rows outside the fences; the fences are read first, so that the filter is pushed to the scan."""
+    for bounds in iqr_bounds(df, column).take(1):
+        return df.filter((F.col(column) < bounds["low"]) | (F.col(column) > bounds["high"]))
+    return df.limit(0)
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins from the smallest to the largest value; the last bin is closed."""
-    limits = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("r")).scalar()
-    width = (limits["high"] - limits["low"]) / F.lit(bins)
-    at = F.coalesce(F.floor(F.try_divide(F.col(column) - limits["low"], width)), F.lit(0))
-    placed = df.filter(F.col(column).isNotNull()).select(
-        F.least(at, F.lit(bins - 1)).cast("int").alias("bin"), limits["low"].alias("_low"), width.alias("_width"))
-    counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.first("_low").alias("_low"),
-                                       F.first("_width").alias("_width"))
-    return counts.select("bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("left_edge"), "n")
+    limits = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = (F.lit(limits[c]).cast("double") for c in ("low", "high"))
+    width = (high - low) / F.lit(bins)
+    at = F.coalesce(F.floor(F.try_divide(F.col(column) - low, width)), F.lit(0))
+    placed = df.filter(F.col(column).isNotNull()).select(F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
+    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(
+        "bin", (low + F.col("bin") * width).alias("left_edge"), "n")
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def rank_tokens(keys: DataFrame, columns: list[str], seed: int | str,
     """
     tokens = keys.select(token(columns, seed).alias("token")).withColumn(
         "prefix", F.substring("token", 1, PREFIX_DIGITS))
-    sizes = tokens.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).orderBy("prefix").collect()
+    sizes = sorted(tokens.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).collect())
     wanted = ranks(sum(row["size"] for row in sizes))
 
     places, last = {}, 0

@@ -20,40 +20,48 @@ def part_sizes(n: int, test: float = TEST_SHARE, validation: float = VALIDATION_
     return n_test, math.ceil(validation * (n - n_test))
 
 
-def blind_classes(df: DataFrame, ligand: str, protein: str, share: float = BLIND_SHARE,
-                  seed: int = 42, name: str = "split") -> DataFrame:
-    """blind (both keys sampled), blind_protein, blind_ligand, or rest (neither).
+def blind_label(keys: DataFrame, ligand: str, protein: str, share: float = BLIND_SHARE, seed: int = 42) -> Column:
+    """blind (both keys sampled), blind_protein, blind_ligand, or rest (neither)."""
+    ligand_in, protein_in = (up_to([c], seed, key_sample_cut(keys, c, share, seed)) for c in (ligand, protein))
+    return (F.when(ligand_in & protein_in, "blind").when(protein_in, "blind_protein")
+            .when(ligand_in, "blind_ligand").otherwise("rest"))
 
-    Rows that lack a key are left out.
-    """
-    rows = df.na.drop(subset=[ligand, protein])
-    ligand_in, protein_in = (up_to([c], seed, key_sample_cut(rows, c, share, seed)) for c in (ligand, protein))
-    label = (F.when(ligand_in & protein_in, "blind").when(protein_in, "blind_protein")
-             .when(ligand_in, "blind_ligand").otherwise("rest"))
-    return rows.withColumn(name, label)
 
-
-def random_parts(df: DataFrame, key: list[str], seed: int = 42, test: float = TEST_SHARE,
-                 validation: float = VALIDATION_SHARE, name: str = "split") -> DataFrame:
-    """train / val / test with exact counts; ``key`` identifies a row."""
+def part_label(keys: DataFrame, key: list[str], seed: int = 42, test: float = TEST_SHARE,
+               validation: float = VALIDATION_SHARE) -> Column:
+    """train, val or test with exact counts; ``key`` identifies a row."""
     def ranks(n: int) -> dict[str, int]:
         n_test, n_val = part_sizes(n, test, validation)
         return {"test": n_test, "val": n_test + n_val}
 
-    cuts = rank_tokens(df, key, seed, ranks)
+    cuts = rank_tokens(keys, key, seed, ranks)
     in_test, in_val = (up_to(key, seed, cuts[c]) for c in ("test", "val"))
-    return df.withColumn(name, F.when(in_test, "test").when(in_val, "val").otherwise("train"))
+    return F.when(in_test, "test").when(in_val, "val").otherwise("train")
+
+
+def blind_classes(df: DataFrame, ligand: str, protein: str, share: float = BLIND_SHARE, seed: int = 42,
+                  name: str = "split") -> DataFrame:
+    """Rows with their blind class; rows that lack a key are left out."""
+    rows = df.na.drop(subset=[ligand, protein])
+    return rows.withColumn(name, blind_label(rows, ligand, protein, share, seed))
+
+
+def random_parts(df: DataFrame, key: list[str], seed: int = 42, test: float = TEST_SHARE,
+                 validation: float = VALIDATION_SHARE, name: str = "split") -> DataFrame:
+    return df.withColumn(name, part_label(df, key, seed, test, validation))
 
 
 def six_way_split(df: DataFrame, ligand: str, protein: str, key: list[str], seed: int = 42) -> DataFrame:
     """train, val, test, blind, blind_protein and blind_ligand in one ``split`` column.
 
-    The rows are stored first, because every cut reads their keys.
+    Only the key columns are stored and counted; the label is then a plain
+    expression on each row, so wide feature columns are never moved.
     """
-    classed = blind_classes(durable(df), ligand, protein, seed=seed, name="_class")
-    rest = random_parts(classed.filter("_class = 'rest'"), key, seed=seed)
-    blind = classed.filter("_class != 'rest'").withColumn("split", F.col("_class"))
-    return rest.unionByName(blind).drop("_class")
+    rows = df.na.drop(subset=[ligand, protein])
+    keys = durable(rows.select(*dict.fromkeys([ligand, protein, *key])))
+    blind = blind_label(keys, ligand, protein, seed=seed)
+    part = part_label(keys.filter(blind == "rest"), key, seed)
+    return rows.withColumn("split", F.when(blind == "rest", part).otherwise(blind))
 
 
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:

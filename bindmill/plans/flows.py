@@ -101,14 +101,15 @@ def one_organism(features: DataFrame, organism: str = ORGANISM) -> DataFrame:
 
 
 def split_features(features: DataFrame, blocks: list[str], target: str = "p_activity") -> DataFrame:
-    """Scaled feature vectors with target, identities and split, written once to the checkpoint folder."""
+    """Scaled feature vectors with target, identities and split, stored in the checkpoint folder."""
     ids = ["canonical_smiles", "sequence_1l", "pdb_id", "chain_id", "ligand_id"]
     rows = features.na.drop(subset=blocks).withColumn("molecule", F.trim("canonical_smiles")).withColumn(
         "sequence", F.trim("sequence_1l"))
-    split = splitting.six_way_split(rows, "molecule", "sequence", key=["molecule", "sequence"])
-    keyed = split.withColumn("pair_key", composite_key("pdb_id", "chain_id", "sequence", "ligand_id"))
-    vectors = scaling.concat_features(keyed.select(*ids, "pair_key", "split", target, *blocks), blocks)
-    return durable(scaling.scale_on_train(durable(vectors)))
+    rows = rows.withColumn("pair_key", composite_key("pdb_id", "chain_id", "sequence", "ligand_id"))
+    vectors = durable(scaling.concat_features(
+        rows.select(*ids, "molecule", "sequence", "pair_key", target, *blocks), blocks))
+    split = splitting.six_way_split(vectors, "molecule", "sequence", key=["molecule", "sequence"])
+    return durable(scaling.scale_on_train(split))
 
 
 def train_and_evaluate(rows: DataFrame, target: str, candidates: list[dict], build: Callable,

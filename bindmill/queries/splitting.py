@@ -8,13 +8,14 @@ from bindmill.functions.scalars import composite_key, vector_columns
 from bindmill.operators import dedup, sampling, scaling, splitting
 from bindmill.queries.common import r6, table
 from bindmill.queries.curation import KI_LABELS, ki_labels
+from bindmill.session import durable
 
 BLIND = ["blind", "blind_protein", "blind_ligand"]
 BASE = ["train", "val", "test"]
 
 
 def _split_labels(spark: SparkSession, folder: str) -> DataFrame:
-    labels = ki_labels(spark, folder)
+    labels = durable(ki_labels(spark, folder))
     return splitting.six_way_split(labels, "molecule", "sequence", key=["molecule", "sequence"])
 
 

@@ -165,7 +165,7 @@ def admitted_cif(spark: SparkSession, folder: str) -> DataFrame:
     head = F.posexplode(F.array(*[F.lit(f"_atom_site.{n}") for n in names]))
     heads = rows.select("file_name", "entry_id").distinct().select("file_name", "entry_id", head.alias("at", "value"))
     heads = heads.select("file_name", "entry_id", (F.col("at") - 100).cast("long").alias("line_no"), "value")
-    atoms = records.parse_cif_atoms(rows.unionByName(heads))
+    atoms = durable(records.parse_cif_atoms(rows.unionByName(heads)))
     return records.admit_cif(atoms).groupBy("entry_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("chain_id").alias("last_chain"), F.min("residue").alias("first_residue"),
         big(F.max(F.col("position").cast("long"))).alias("last_position"))

@@ -39,6 +39,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused folder name in the shared checkpoint folder."""
+    return f"{_shared_folder(spark)}/bindmill-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
@@ -46,7 +51,6 @@ def durable(df: DataFrame) -> DataFrame:
     scoring): later jobs read only the columns they need, and a lost executor
     re-reads files instead of recomputing the lineage.
     """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/bindmill-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
