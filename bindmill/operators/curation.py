@@ -69,7 +69,7 @@ def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool, hot_rows: i
         return curated
     hot = first_per_key(hot, per_value, structure_order)
     hot_stats = hot.groupBy(*roles.interaction).agg(*[stat.alias(name) for name, stat in stats.items()])
-    hot = hot.join(F.broadcast(hot_stats), roles.interaction)  # at most HOT_KEYS hashes
+    hot = hot.join(F.broadcast(hot_stats), roles.interaction)  # one row per hot key
     return curated.unionByName(_nearest_to_mean(hot, roles, structure_order))
 
 

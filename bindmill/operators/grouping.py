@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from bindmill.session import durable
 
 HOT_ROWS = 1_000_000    # smaller groups are never hot
-HOT_KEYS = 1_000        # at most this many groups are treated as hot
-SKETCH_SLICES = 64      # the key space is cut into slices, each with its own frequency sketch
-SKETCH_ITEMS = 256
+HOT_KEYS = 100_000      # at most this many groups are treated as hot
+HOT_SAMPLE = 1_000      # expected sampled rows of a group that is just hot
 BINS = 256              # power of two
 FEW_GROUPS = 1_000      # times BINS: the largest broadcast of running totals
 
@@ -24,28 +23,28 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys with more than ``min_rows`` rows, at most ``HOT_KEYS`` of them.
+def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with about ``min_rows`` rows or more, at most ``HOT_KEYS`` of them.
 
-    Frequency sketches find them in one pass that ships a few hundred counters
-    per task and slice, not the keys. A sketch may be off by half a percent of
-    its slice; that only decides which way a group takes, never a result. The
-    list is read once, so that every branch of a plan uses the same one.
+    Counted on a row sample that gives a hot group a thousand rows, so only a
+    small share of the keys is exchanged. The sample only decides which way a
+    group takes, never a result; the list is stored, as every branch must use
+    the same one.
     """
-    hashed = df.select(F.xxhash64(*keys).alias("hash"))
-    top = F.call_function("approx_top_k", F.col("hash"), F.lit(SKETCH_ITEMS // 16), F.lit(SKETCH_ITEMS))
-    frequent = hashed.groupBy(F.pmod("hash", F.lit(SKETCH_SLICES)).alias("slice")).agg(top.alias("top"))
-    counted = frequent.select(F.inline("top")).filter(F.col("count") > min_rows)
-    return [row["item"] for row in counted.orderBy(F.desc("count"), "item").take(HOT_KEYS)]
+    share = min(1.0, HOT_SAMPLE / min_rows)
+    sampled = df.select(F.xxhash64(*keys).alias("hot")).sample(share, 42)
+    counted = sampled.groupBy("hot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share * min_rows / 2)
+    return durable(counted.orderBy(F.desc("n"), "hot").limit(HOT_KEYS).select("hot"))
 
 
 def split_hot(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of hot groups or None if there are none)."""
     hot = hot_hashes(df, keys, min_rows)
-    if not hot:
+    if hot.isEmpty():
         return df, None
-    listed = F.xxhash64(*keys).isin(hot)
-    return df.filter(~listed), df.filter(listed)
+    hot = F.broadcast(hot)  # HOT_KEYS numbers
+    listed = F.xxhash64(*[df[k] for k in keys]) == hot["hot"]
+    return df.join(hot, listed, "left_anti"), df.join(hot, listed, "left_semi")
 
 
 def duplicate_flags(df: DataFrame, keys: list[str], order: list[str], flag: str = "is_duplicate") -> DataFrame:

@@ -51,7 +51,8 @@ def master_table(chains: DataFrame, ligands: DataFrame, entries: DataFrame,
 def link_activities(master: DataFrame, mappings: DataFrame, molecules: DataFrame, targets: DataFrame,
                     activities: DataFrame) -> DataFrame:
     """Attach accessions, molecule ids, target ids and measurements to the master table."""
-    mapped = mappings.filter(F.col("uniprot_id").isNotNull()).distinct().join(master, ["pdb_id", "chain_id"]).distinct()
+    known = mappings.filter(F.col("uniprot_id").isNotNull())
+    mapped = linking.attach_facts(known, master, ["pdb_id", "chain_id"])
     with_molecule = linking.fallback_lookup(
         mapped, molecules, ("inchikey", "standard_inchi_key"), ("canonical_smiles", "canonical_smiles"),
         "molecule_chembl_id")

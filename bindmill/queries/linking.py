@@ -17,7 +17,7 @@ def link_segments(spark: SparkSession, folder: str) -> DataFrame:
     mappings = dedup.union_distinct(lines.filter("l_returnflag = 'A'").select(*mapping),
                                     lines.filter("l_linestatus = 'F'").select(*mapping))
     chains = lines.select("l_orderkey", "l_linenumber", "l_partkey")
-    linked = mappings.join(chains, ["l_orderkey", "l_linenumber"]).distinct()
+    linked = linking.attach_facts(mappings, chains, ["l_orderkey", "l_linenumber"])
     return linked.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("n_parts"))
 
 

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans at run time; the forced skew join lets it split a hot partition
 # even where the split costs one more exchange above the join.
-SETTINGS = {
+SKEW_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
+SETTINGS = {**SKEW_SETTINGS, "spark.sql.session.timeZone": "UTC"}
 
 
 def build_session(app: str = "bindmill", master: str | None = None,
@@ -28,6 +27,13 @@ def build_session(app: str = "bindmill", master: str | None = None,
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Turn on run-time skew handling in a session that was built elsewhere."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
