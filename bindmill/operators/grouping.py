@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindmill.session import durable
@@ -9,8 +11,10 @@ from bindmill.session import durable
 HOT_ROWS = 1_000_000    # smaller groups are never hot
 HOT_KEYS = 100_000      # at most this many groups are treated as hot
 HOT_SAMPLE = 1_000      # expected sampled rows of a group that is just hot
-BINS = 256              # power of two
-FEW_GROUPS = 1_000      # times BINS: the largest broadcast of running totals
+BIN_ROWS = 1_000_000    # running totals aim at this many rows per bin ...
+BINS = (16, 4096)       # ... with at least and at most so many bins (powers of two)
+BIN_SAMPLE = 256        # sampled rows per bin that place the cuts
+SMALL_SIDE = 256_000    # cuts or offsets up to this many numbers are broadcast
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -70,23 +74,25 @@ def duplicate_count(df: DataFrame, keys: list[str], name: str = "n_duplicates")
 
 
 def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[str]) -> DataFrame:
-    """Exact running totals of ``amounts`` along ``order`` within a few groups.
+    """Exact running totals of ``amounts`` along ``order`` within groups such as splits or columns.
 
     Adds ``<amount>_before`` (sum over smaller values) and ``<amount>_total``.
     ``(groups, order)`` must be unique. The number line of each group is cut
-    into bins at approximate quantiles: where the cuts fall only balances the
+    into bins at quantiles of a sample: where the cuts fall only balances the
     work, sums are exact. Rows and cuts are stored, as both passes must see the
     same ones. One bin of one group is the largest unit of a task.
-    ``groups`` usually stands for a few splits or columns; cuts and offsets are
-    then broadcast, else joined.
     """
     df = durable(df.select(*groups, order, *amounts))
-    steps = [i / BINS for i in range(1, BINS)]
-    cuts = durable(df.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(order, steps, BINS * 10)).alias("_cuts"),
-        *[F.sum(a).alias(f"{a}_total") for a in amounts]))
-    few = cuts.count() <= FEW_GROUPS
-    binned = _attach(df, cuts, groups, few).withColumn("_bin", _cuts_below("_cuts", order)).drop("_cuts")
+    n = max(df.count(), 1)
+    bins = min(max(1 << math.ceil(math.log2(max(n / BIN_ROWS, 1))), BINS[0]), BINS[1])
+    steps = [i / bins for i in range(1, bins)]
+    cuts = df.sample(min(1.0, bins * BIN_SAMPLE / n), 42).groupBy(*groups).agg(
+        F.array_distinct(F.percentile_approx(order, steps)).alias("_cuts"))
+    totals = df.groupBy(*groups).agg(*[F.sum(a).alias(f"{a}_total") for a in amounts])
+    cuts = durable(totals.join(cuts, groups, "left"))
+    small = cuts.count() * bins <= SMALL_SIDE
+    below = F.coalesce(_cuts_below("_cuts", order, bins), F.lit(0))
+    binned = _attach(df, cuts, groups, small).withColumn("_bin", below).drop("_cuts")
 
     sums = binned.groupBy(*groups, "_bin").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     over_bins = W.partitionBy(*groups).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
@@ -95,19 +101,19 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
 
     in_bin = (W.partitionBy(*groups, "_bin").orderBy(order)
               .rowsBetween(W.unboundedPreceding, -1))
-    joined = _attach(binned, offsets, [*groups, "_bin"], few)
+    joined = _attach(binned, offsets, [*groups, "_bin"], small)
     running = [(F.col(f"_{a}_offset") + F.coalesce(F.sum(a).over(in_bin), F.lit(0))).alias(f"{a}_before")
                for a in amounts]
     return joined.select(*df.columns, *running, *[f"{a}_total" for a in amounts])
 
 
-def _cuts_below(cuts: str, value: str) -> Column:
+def _cuts_below(cuts: str, value: str, bins: int) -> Column:
     """How many of the sorted cuts are smaller than the value, by halving steps."""
-    halves = F.array(*[F.lit(BINS >> i) for i in range(1, BINS.bit_length())])
+    halves = F.array(*[F.lit(bins >> i) for i in range(1, bins.bit_length())])
     return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(
         F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
 
 
-def _attach(df: DataFrame, side: DataFrame, on: list[str], few: bool) -> DataFrame:
-    """Join a side with at most ``BINS`` rows per group; broadcast it only for few groups."""
-    return df.join(F.broadcast(side) if few else side, on)
+def _attach(df: DataFrame, side: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """Join a side with at most one entry per group and bin; broadcast it only when it is small."""
+    return df.join(F.broadcast(side) if small else side, on)

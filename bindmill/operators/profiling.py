@@ -18,15 +18,13 @@ def melt(df: DataFrame, columns: list[str], name: str = "column", value: str = "
     return df.select(F.inline(F.array(*cells)))
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float],
-                    weight: str | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """Linearly interpolated quantiles per group, columns ``q<share>``.
 
     Equal values are counted first; the two neighbouring order statistics are
     then read off exact running counts, so no task sees a whole group.
     """
-    count = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(count.alias("_w")))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_w"))
     ranked = running_totals(counts, groups, value, ["_w"])
     first, last = F.col("_w_before"), F.col("_w_before") + F.col("_w")
 
@@ -109,6 +107,12 @@ def share_true(df: DataFrame, flag: Column) -> DataFrame:
                   F.count(F.lit(1)).alias("n_total"))
 
 
+def value_shares(df: DataFrame, column: str) -> DataFrame:
+    """Count and share of the rows per value."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").alias("n")).scalar())
+
+
 def distinct_share(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(column).alias("n_distinct")).withColumn(
         "share_distinct", F.try_divide(F.col("n_distinct"), F.col("n_rows")))

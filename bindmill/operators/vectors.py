@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from bindmill.functions.scalars import l2_norm
 
 NEAR_CONSTANT = 0.01
+SHARE_SLACK = 1e-12  # sums of shares round
 
 
 def _long(df: DataFrame, vector: str, *extra: str) -> DataFrame:
@@ -89,13 +90,17 @@ def explained_variance(df: DataFrame, vector: str, k: int) -> DataFrame:
     """Variance share of each component and its running sum (``k`` rows)."""
     _, model = fit_pca(df, vector, k)
     shares = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)]
-    table = df.sparkSession.createDataFrame(shares, "pc int, share double")
+    return running_share(df.sparkSession.createDataFrame(shares, "pc int, share double"))
+
+
+def running_share(shares: DataFrame) -> DataFrame:
+    """Adds the running sum of a short table of numbered shares."""
     upto = W.orderBy("pc").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return table.withColumn("cumulative", F.sum("share").over(upto))
+    return shares.withColumn("cumulative", F.sum("share").over(upto))
 
 
 def components_needed(variance: DataFrame, k: int, targets: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
     """First component whose running share reaches each target; ``k + 1`` if none does."""
     picks = [F.struct(F.lit(t).alias("target"), F.coalesce(
-        F.min(F.when(F.col("cumulative") >= t, F.col("pc"))), F.lit(k + 1)).alias("n_components")) for t in targets]
+        F.min(F.when(F.col("cumulative") >= t - SHARE_SLACK, F.col("pc"))), F.lit(k + 1)).alias("n_components")) for t in targets]
     return variance.agg(F.array(*picks).alias("p")).select(F.inline("p"))

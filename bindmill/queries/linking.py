@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindmill.functions.scalars import composite_key
-from bindmill.operators import dedup, filters, linking
+from bindmill.operators import dedup, linking
 from bindmill.operators.grouping import duplicate_count, duplicate_flags
+from bindmill.plans import flows
 from bindmill.queries.common import big, r6, table
 
 
@@ -34,8 +35,7 @@ def master_table(spark: SparkSession, folder: str) -> DataFrame:
     ligands = nation.select(F.col("n_nationkey").cast("string").alias("ligand_id"), F.col("n_name").alias("name"))
     supplier = table(spark, folder, "supplier")
     entries = supplier.select(F.col("s_suppkey").alias("entry"), F.col("s_acctbal").alias("resolution"))
-    from bindmill.plans.flows import master_table as build
-    return build(chains, ligands, entries, min_length=27, entry_key="entry").select(
+    return flows.master_table(chains, ligands, entries, min_length=27, entry_key="entry").select(
         "pdb_id", "chain_id", "ligand_id", "name", "resolution")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindmill.functions.residues import residue_table
 from bindmill.functions.scalars import swap_extension, vector_columns
 from bindmill.operators import scaling, sequences, splitting
 from bindmill.queries.common import big, r6, table

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bindmill.functions.residues import residue_table
 from bindmill.functions.scalars import fixed_field
 from bindmill.operators import cascade, sequences
-from bindmill.queries.common import big, r6, table
+from bindmill.plans import flows
+from bindmill.queries.common import big, table
 from bindmill.schema import CHEM_COMPONENT, ENTRY_METADATA
 from bindmill.session import durable
 from bindmill.sources import metadata, records
@@ -96,8 +97,7 @@ def ligand_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chain_table(spark: SparkSession, folder: str) -> DataFrame:
-    from bindmill.plans.flows import chain_table as build
-    return build(_atom_lines(spark, folder), residue_table(spark)).select(
+    return flows.chain_table(_atom_lines(spark, folder), residue_table(spark)).select(
         "pdb_id", "chain_id", "sequence_1l", "positions", "ligand_id")
 
 

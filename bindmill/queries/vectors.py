@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from bindmill.functions.scalars import vector_columns
 from bindmill.operators import dedup, profiling, scaling, sequences, similarity, vectors
@@ -128,6 +128,15 @@ def components_needed(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.components_needed(variance, 50)
 
 
+def brands_needed(spark: SparkSession, folder: str) -> DataFrame:
+    """The running-share report on the 25 brands, largest first, in place of components."""
+    part = table(spark, folder, "part")
+    counts = profiling.value_shares(part, "p_brand").withColumn(
+        "pc", F.row_number().over(W.orderBy(F.desc("share"), "p_brand")))
+    return vectors.components_needed(vectors.running_share(counts.select("pc", "share")), 25, (0.1, 0.5, 0.9)).select(
+        "target", big("n_components").alias("n_components"))
+
+
 def pca_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(vectors.pca_scores(_embeddings(spark, folder), "embedding", 2), "pc1", "pc2")
 
@@ -135,7 +144,8 @@ def pca_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     dimension_stats, near_constant, top_variance, norm_stats, norm_by_label, mean_vectors, dimension_correlations,
     correlation_summary, vector_export, protein_cosines, feature_cosines, text_tanimoto, pooled_tokens,
-    per_distinct_features, pca_variance, components_needed, pca_scores)}
+    per_distinct_features, pca_variance, components_needed,
+    brands_needed, pca_scores)}
 
 _LONG = """
 WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
@@ -171,6 +181,12 @@ SELECT round(max(abs(r)), 6) + 0.0 AS max_abs_r, count(*) FILTER (abs(r) > 0.05:
        count(*) FILTER (abs(r) > 0.1::DOUBLE) AS n_above_10 FROM s""",
     "vector_export": """
 SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS e1, round(embedding[64]::DOUBLE, 6) + 0.0 AS e64 FROM embeddings""",
+    "brands_needed": """
+WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand),
+r AS (SELECT row_number() OVER w AS pc, sum(n) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE / (SELECT sum(n) FROM c) AS total
+      FROM c WINDOW w AS (ORDER BY n DESC, p_brand))
+SELECT target::DOUBLE AS target, coalesce(min(pc) FILTER (total >= target::DOUBLE - 1e-12), 26) AS n_components
+FROM r, (SELECT unnest([0.1, 0.5, 0.9]) AS target) GROUP BY target""",
     "protein_cosines": f"""
 WITH v AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings
            ORDER BY md5('42|' || vec_id), vec_id LIMIT {PROTEIN_SAMPLE})""" + _pairs(
