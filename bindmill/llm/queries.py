@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing")
+MODULES = ("sharding", "mixing", "pii", "urls", "quality_rules")
 
 
 def _modules() -> list:
