@@ -9,7 +9,7 @@ later than the latest component, so a signature costs about one point per shingl
 
 Documents that agree in a whole band are compared by the exact overlap of their multisets, never pair by pair within a
 band: first each with the band's smallest member, then, in bands that still hold several groups, members outside the
-largest group with those of other groups. Two documents that share a band and are similar therefore end in one group,
+largest group with those of other groups that a finer signature does not rule out. Two documents that share a band and are similar therefore end in one group,
 and the work stays near the size of the bands.
 """
 
@@ -31,6 +31,11 @@ BANDS, ROWS = 25, 5  # a pair at 0.8 shares a band with probability 0.99995
 SIZE = BANDS * ROWS
 #: Agreeing bits of 125 that a pair needs to be compared: 5.5 standard deviations below what 0.8 gives.
 SKETCH_AGREE = 94
+#: For members of bands that hold several groups: a byte of each of 2,016 components, and how many of them a pair needs
+#: to agree in to be compared, again five standard deviations below what 0.8 gives.
+FINE_SIZE, FINE_AGREE = 2016, 1524
+TILE_LEFT, TILE_RIGHT = 200, 1000  # members of a band that are held against each other in one task
+KEPT_CHARS = 8_000_000  # of texts whose shingles a task keeps while it checks pairs
 BATCH = 400  # documents whose signatures are made together
 SIGNATURE = T.StructType().add("bands", T.ArrayType(T.LongType())).add("low", "long").add("high", "long")
 
@@ -109,20 +114,96 @@ def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["bands", "low", "high"])
 
 
-def overlap(a: str, b: str, hashes: RangeHash) -> float:
-    """Weighted Jaccard similarity of two texts' shingle multisets; 0 if both have none."""
-    (left, m), (right, n) = shingles(a, hashes), shingles(b, hashes)
-    _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
-    common = int(np.minimum(m[i], n[j]).sum())
-    total = int(m.sum() + n.sum()) - common
-    return common / total if total else 0.0
+@F.pandas_udf(T.BinaryType())
+def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """One byte of each of ``FINE_SIZE`` components."""
+    hashes = RangeHash()
+    for texts in batches:
+        out: list[bytes] = []
+        for begin in range(0, len(texts), BATCH // 8):
+            bags = [shingles(t, hashes) for t in texts.iloc[begin:begin + BATCH // 8]]
+            owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+            signature = bag_minhash(owner, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]),
+                                    len(bags), FINE_SIZE)
+            out += [row.tobytes() for row in scatter(signature.view(np.uint64)).astype(np.uint8)]
+        yield pd.Series(out, dtype=object)
+
+
+PAIR = T.StructType().add("a", "binary").add("b", "binary")
+
+
+def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different groups whose fine sketches agree enough, each in the first band that both share."""
+    a, b = [], []
+    if len(left) and len(right):
+        band, main = left["band"].iloc[0], left["main"].iloc[0]
+        x, y = (np.frombuffer(b"".join(f["fine"]), np.uint8).reshape(len(f), FINE_SIZE) for f in (left, right))
+        bands_x, bands_y = (np.array(f["bands"].tolist()) for f in (left, right))
+        labels, keys = right["label"].to_numpy(), right["key"].to_numpy()
+        is_main = np.array([v == main for v in labels])
+        for k, (key, label, pivot) in enumerate(zip(left["key"], left["label"], left["pivot"])):
+            if key == pivot:
+                continue  # compared before, as the others are with the pivot below
+            near = np.flatnonzero((y == x[k]).sum(axis=1) >= FINE_AGREE)
+            for j in near.tolist():
+                if labels[j] == label or keys[j] == pivot or not (is_main[j] or key < keys[j]):
+                    continue
+                shared = np.flatnonzero(bands_x[k] == bands_y[j])
+                if bands_x[k][shared[0]] == band:
+                    a.append(key)
+                    b.append(keys[j])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _cross_pairs(mixed: DataFrame) -> DataFrame:
+    """(band, main, key, label, pivot, fine, bands) -> pairs to check, by tiles of bounded size."""
+    counts = mixed.groupBy("band").agg(
+        F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / TILE_LEFT).cast("int").alias("lefts"),
+        F.ceil(F.count("*") / TILE_RIGHT).cast("int").alias("rights"))
+    sized = durable(mixed.join(counts, "band"))
+
+    def dealt(df: DataFrame, own: str, salt: str, other: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64(F.lit(salt), "key"), F.col(own)).cast("int")
+        out = df.withColumn("own", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("own", "other") if own == "lefts" else ("other", "own")
+        return out.select("band", "main", "key", "label", "pivot", "fine", "bands", F.col(pair[0]).alias("i"),
+                          F.col(pair[1]).alias("j"))
+
+    left = dealt(sized.where("label <> main"), "lefts", "left", "rights")
+    right = dealt(sized, "rights", "right", "lefts")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides read one table
+    by = ["band", "i", "j"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare_tiles, PAIR)
+
+
+def overlap(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two shingle multisets; 0 if both are empty."""
+    (x, m), (y, n) = left, right
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int(np.minimum(m, n[at])[y[at] == x].sum())
+    return common / (int(m.sum() + n.sum()) - common)
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     hashes = RangeHash()
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # texts that come in many pairs are read once
+    held = 0
+
+    def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal held
+        if text not in known:
+            if held > KEPT_CHARS:
+                known.clear()
+                held = 0
+            known[text] = shingles(text, hashes)
+            held += len(text)
+        return known[text]
+
     for left, right in batches:
-        yield pd.Series([overlap(a, b, hashes) for a, b in zip(left, right)], dtype=float)
+        yield pd.Series([overlap(of(a), of(b)) for a, b in zip(left, right)], dtype=float)
 
 
 def _alike(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
@@ -145,7 +226,6 @@ def components(links: DataFrame) -> DataFrame:
             F.col("u").alias("node"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("node")).where(F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
         small = large.join(least, F.col("u") == F.col("node")).select(
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
@@ -188,16 +268,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
     mixed = durable(labelled.join(largest.where("labels > 1").drop("labels"), "band"))
-    x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
-    tried = (F.col("x.key") == F.col("x.pivot")) | (F.col("y.key") == F.col("x.pivot"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once & ~tried & _alike(
-        F.col("x.low"), F.col("x.high"), F.col("y.low"), F.col("y.high")))
-    rest = durable(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+    fine = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", fine_sketch("text").alias("fine"))
+    fine = durable(fine.join(signed.select("key", "bands"), "key"))
+    rest = durable(_cross_pairs(mixed.drop("low", "high").join(fine, "key")))
     more = _similar(rest, texts, threshold)
-    if not more.isEmpty():
-        roots = components(links.select("a", "b").union(more.select("a", "b")))
-    return roots.select(F.col("node").alias("key"), "root")
+    if more.isEmpty():
+        return roots.select(F.col("node").alias("key"), "root")
+    # links between groups: a small graph of its own, whose roots replace those of the groups
+    known = durable(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    side = lambda c: F.coalesce(F.col(c), F.col({"ra": "a", "rb": "b"}[c]))
+    joined = more.join(known.select(F.col("node").alias("na"), F.col("root").alias("ra")), F.col("a") == F.col("na"), "left").join(
+        known.select(F.col("node").alias("nb"), F.col("root").alias("rb")), F.col("b") == F.col("nb"), "left")
+    higher = components(joined.select(side("ra").alias("a"), side("rb").alias("b")))
+    nodes = known.union(higher.select("node", F.col("node").alias("root")).join(known.select("node"), "node", "left_anti"))
+    return nodes.join(higher.select(F.col("node").alias("group"), F.col("root").alias("top")),
+                      F.col("root") == F.col("group"), "left").select(
+        F.col("node").alias("key"), F.coalesce("top", "root").alias("root"))
 
 
 def _rooted(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
