@@ -25,8 +25,8 @@ from bindmill.llm.suffix_array import suffix_array
 from bindmill.session import durable
 
 LENGTH = 100
-GRAM = 24
-LONGER_GRAMS = (62, 81, 91, 96, 98, 99, 100)
+GRAM = 48
+LONGER_GRAMS = (74, 87, 94, 97, 99, 100)
 GROUP = 1000  # stretches whose suffixes are sorted together
 BLOCK = 1 << 20  # windows whose anchors are sought at once
 CHUNK_BYTES = 16_000_000  # of texts whose stretches are collapsed together

@@ -23,9 +23,9 @@ def suffix_array(text: list[int]) -> list[int]:
         if text[s] != last:
             first, last = k, text[s]
         group[s] = first
-    size = {}
-    for s in range(n):
-        size[group[s]] = size.get(group[s], 0) + 1
+    size = [0] * n  # by a group's first place
+    for g in group:
+        size[g] += 1
     smaller = [-1] * n  # nearest earlier suffix of a smaller group
     end = n - 1
     while end > 0:
@@ -53,7 +53,7 @@ def suffix_array(text: list[int]) -> list[int]:
                 by_count.setdefault(k, []).append(p)
             for k in sorted(by_count, reverse=True):
                 _split(by_count[k], order, place, group, size)
-    out, free = [0] * n, {g: g for g in size}
+    out, free = [0] * n, list(range(n))
     written = [False] * n
     out[0], written[n - 1] = n - 1, True
     for k in range(n):
@@ -67,7 +67,7 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def _split(leaving: list[int], order: list[int], place: list[int], group: list[int], size: dict[int, int]) -> None:
+def _split(leaving: list[int], order: list[int], place: list[int], group: list[int], size: list[int]) -> None:
     """Moves suffixes to the end of their groups, where those of one group form a new one."""
     ends: dict[int, int] = {}
     for s in leaving:
