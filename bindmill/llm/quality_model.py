@@ -24,6 +24,7 @@ WORD_BITS = 14
 FACTORS = 8
 EPOCHS = 8
 BATCH = 128
+LEAST_STEPS = 400  # few labelled rows are gone through more often
 RATE = 0.08
 DECAY = 1e-4
 SEED = 11
@@ -87,7 +88,8 @@ class Machine:
         self.bias = float(np.log(share / (1 - share)))
         rng = np.random.default_rng(SEED)
         seen_w, seen_v = np.full(len(self.weights), 1e-3), np.full(self.factors.shape, 1e-3)
-        for _ in range(EPOCHS if len(rows) else 0):
+        batches = -(-len(rows) // BATCH)
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches)) if batches else 0):
             order = rng.permutation(len(rows))
             for begin in range(0, len(order), BATCH):
                 picked = order[begin:begin + BATCH]
