@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-MAX_LINE = 1_000_000  # longer than any record line
 
 
 def _c(col: Column | str) -> Column:
@@ -55,7 +54,7 @@ def put_field(line: Column | str, first: int, last: int, value: Column) -> Colum
     """Line with the columns ``first`` to ``last`` replaced by ``value``, right-aligned."""
     line, width = _c(line), last - first + 1
     return F.concat(F.substring(line, 1, first - 1), F.lpad(value, width, " "),
-                    F.substring(line, last + 1, MAX_LINE))
+                    F.substring(line, F.lit(last + 1), F.length(line)))
 
 
 def swap_extension(name: Column | str, old: str, new: str) -> Column:

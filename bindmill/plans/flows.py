@@ -60,9 +60,8 @@ def link_activities(master: DataFrame, mappings: DataFrame, molecules: DataFrame
         with_molecule, linking.component_targets(targets), "uniprot_id", "accession", "target_chembl_id")
     keys = ["molecule_chembl_id", "target_chembl_id"]
     rows = with_target.na.drop(subset=keys)
-    facts = linking.facts_for_pairs(activities, rows, keys)
     kinds = targets.select("target_chembl_id", "target_type").distinct()
-    return linking.attach_facts(rows, facts.join(kinds, "target_chembl_id", "left"), keys)
+    return linking.attach_facts(rows, activities.join(kinds, "target_chembl_id", "left"), keys)
 
 
 def label_rows(linked: DataFrame, branch: str) -> tuple[DataFrame, curation.CurationRoles, bool]:
@@ -79,7 +78,8 @@ def label_rows(linked: DataFrame, branch: str) -> tuple[DataFrame, curation.Cura
         rows = rows.withColumn("p_activity", F.col("pchembl_value"))
     else:
         raise ValueError(f"unknown branch {branch}")
-    ties = ["pdb_id", "chain_id", "ligand_id", "uniprot_id", "target_chembl_id", "p_activity"]
+    named = ["pdb_id", "chain_id", "ligand_id", "uniprot_id", "target_chembl_id", "p_activity"]
+    ties = [*named, *sorted(c for c in rows.columns if c not in named)]  # a total order of different rows
     return rows, curation.CurationRoles(ties=ties), branch == "pchembl"
 
 
@@ -103,13 +103,13 @@ def one_organism(features: DataFrame, organism: str = ORGANISM) -> DataFrame:
 
 def split_features(features: DataFrame, blocks: list[str], target: str = "p_activity") -> DataFrame:
     """Scaled feature vectors with target, identities and split, stored in the checkpoint folder."""
-    ids = ["canonical_smiles", "sequence_1l", "pdb_id", "chain_id", "ligand_id"]
+    ids = ["molecule_chembl_id", "canonical_smiles", "sequence_1l", "pdb_id", "chain_id", "ligand_id"]
     rows = features.na.drop(subset=blocks).withColumn("molecule", F.trim("canonical_smiles")).withColumn(
         "sequence", F.trim("sequence_1l"))
     rows = rows.withColumn("pair_key", composite_key("pdb_id", "chain_id", "sequence", "ligand_id"))
     vectors = durable(scaling.concat_features(
         rows.select(*ids, "molecule", "sequence", "pair_key", target, *blocks), blocks))
-    split = splitting.six_way_split(vectors, "molecule", "sequence", key=["molecule", "sequence"])
+    split = splitting.six_way_split(vectors, "molecule", "sequence", key=["molecule_chembl_id", "sequence"])
     return durable(scaling.scale_on_train(split))
 
 

@@ -42,7 +42,7 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def well_predicted(spark: SparkSession, folder: str) -> DataFrame:
-    rows = metrics.well_predicted(_scored(spark, folder).filter("lang != 'en'"), "quality", "score", ["doc_id", "lang"])
+    rows = metrics.well_predicted(_scored(spark, folder), "quality", "score", ["doc_id", "lang"])
     return rows.withColumns({"true_label": big("true_label"), "predicted_label": big("predicted_label")})
 
 
@@ -102,5 +102,5 @@ k AS (
     "well_predicted": _SCORED + """
 SELECT doc_id, lang, CAST(quality AS BIGINT) AS true_label, score AS predicted_proba,
        CAST(score >= 0.5 AS BIGINT) AS predicted_label
-FROM d WHERE lang <> 'en' AND CAST(score >= 0.5 AS INT) = quality""",
+FROM d WHERE CAST(score >= 0.5 AS INT) = quality""",
 }

@@ -25,11 +25,20 @@ def csv_columns(spark: SparkSession, folder: str) -> DataFrame:
 def csv_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Free text with quotes and line breaks survives CSV; every column is read as text."""
     path = new_path(spark)
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.regexp_replace(
-        "text", r"[\r\n]+", " ").alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     sinks.write_table(turns, path, "csv")
     back = tables.read_csv(spark, path, all_text(turns.columns))
-    return back.select("conv_id", "turn", "role", F.trim("text").alias("text"))
+    return back.select("conv_id", "turn", "role", "text")
+
+
+def csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Commas, quotes, line breaks, backslashes, outer blanks and missing cells survive CSV."""
+    path = new_path(spark)
+    awkward = F.concat(F.lit(' say "'), "p_name", F.lit('", \\n\\ "\nand, '), "p_brand", F.lit('" '))
+    parts = table(spark, folder, "part").select("p_partkey", awkward.alias("quoted"), F.when(
+        F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("name"))
+    sinks.write_table(parts, path, "csv")
+    return tables.read_csv(spark, path, "p_partkey BIGINT, quoted STRING, name STRING")
 
 
 def id_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,15 +101,17 @@ def renamed_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_columns, csv_texts, id_list, fasta_file, record_scan, chain_files, split_matrices, stored_record, renamed_files)}
+    csv_columns, csv_texts, csv_quoted, id_list, fasta_file, record_scan, chain_files, split_matrices, stored_record, renamed_files)}
 
 _TOKEN = "md5('42|' || p_partkey) || ':' || p_partkey"
 
 ORACLES = {
     "csv_columns": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
     "csv_texts": """
-SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS text
-FROM conversations""",
+SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations""",
+    "csv_quoted": r"""
+SELECT p_partkey, ' say "' || p_name || '", \n\ "' || chr(10) || 'and, ' || p_brand || '" ' AS quoted,
+  CASE WHEN p_partkey % 3 > 0 THEN p_name END AS name FROM part""",
     "id_list": "SELECT o_orderkey::VARCHAR AS value FROM orders",
     "fasta_file": _ATOMS + _CHAINS.format(source="a") + """
 SELECT 1::BIGINT AS is_head, count(*) AS n, CAST(sum(length(entry_id) + 3) AS BIGINT) AS n_chars FROM c

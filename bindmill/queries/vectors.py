@@ -71,7 +71,7 @@ def correlation_summary(spark: SparkSession, folder: str) -> DataFrame:
 def vector_export(spark: SparkSession, folder: str) -> DataFrame:
     names = vector_columns("embedding", "e", 64)
     rows = _embeddings(spark, folder).select("vec_id", *names)
-    return rows.select("vec_id", r6(F.col("e1").cast("double")).alias("e1"), r6(F.col("e64").cast("double")).alias("e64"))
+    return rows.select("vec_id", *[r6(F.col(c).cast("double")).alias(c) for c in rows.columns if c != "vec_id"])
 
 
 def _summary(scores: DataFrame, limits: tuple[float, ...]) -> DataFrame:
@@ -179,8 +179,8 @@ SELECT CAST(label AS BIGINT) AS label, dim, round(avg(x), 6) + 0.0 AS x FROM x G
     "correlation_summary": _LONG + """
 SELECT round(max(abs(r)), 6) + 0.0 AS max_abs_r, count(*) FILTER (abs(r) > 0.05::DOUBLE) AS n_above_05,
        count(*) FILTER (abs(r) > 0.1::DOUBLE) AS n_above_10 FROM s""",
-    "vector_export": """
-SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS e1, round(embedding[64]::DOUBLE, 6) + 0.0 AS e64 FROM embeddings""",
+    "vector_export": "SELECT vec_id, " + ", ".join(
+        f"round(embedding[{i}]::DOUBLE, 6) + 0.0 AS e{i}" for i in range(1, 65)) + " FROM embeddings",
     "brands_needed": """
 WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand),
 r AS (SELECT row_number() OVER w AS pc, sum(n) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE / (SELECT sum(n) FROM c) AS total

@@ -10,7 +10,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
 
 

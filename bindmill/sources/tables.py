@@ -10,19 +10,22 @@ from bindmill.schema import nan_to_null
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              columns: list[str] | None = None) -> DataFrame:
-    """Headered CSV with a declared schema; only empty cells are missing, so the code ``NA`` survives."""
+    """Headered CSV with a declared schema; only empty cells are missing, so the code ``NA`` survives.
+
+    Quoted cells may hold commas, line breaks, doubled quotes and backslashes, so a file is read by one task.
+    """
     df = (spark.read.schema(schema).option("header", True).option("nullValue", "")
-          .option("quote", '"').option("escape", '"').csv(path))
+          .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
     return nan_to_null(df.select(*columns) if columns else df)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return nan_to_null(spark.read.schema(schema).json(path))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    return nan_to_null(df.select(*columns) if columns else df)
 
 
 def list_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
