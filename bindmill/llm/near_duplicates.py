@@ -34,7 +34,7 @@ SKETCH_AGREE = 94
 #: For members of bands that hold several groups: a byte of each of 2,016 components, and how many of them a pair needs
 #: to agree in to be compared, again five standard deviations below what 0.8 gives.
 FINE_SIZE, FINE_AGREE = 2016, 1524
-TILE_LEFT, TILE_RIGHT = 200, 1000  # members of a band that are held against each other in one task
+TILE_LEFT, TILE_RIGHT = 1000, 4000  # members of a band that are held against each other in one task
 KEPT_CHARS = 8_000_000  # of texts whose shingles a task keeps while it checks pairs
 BATCH = 400  # documents whose signatures are made together
 SIGNATURE = T.StructType().add("bands", T.ArrayType(T.LongType())).add("low", "long").add("high", "long")
@@ -155,8 +155,8 @@ def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _cross_pairs(mixed: DataFrame) -> DataFrame:
-    """(band, main, key, label, pivot, fine, bands) -> pairs to check, by tiles of bounded size."""
+def _cross_pairs(mixed: DataFrame, fine: DataFrame) -> DataFrame:
+    """(band, main, key, label, pivot), (key, fine, bands) -> pairs to check, by tiles of bounded size."""
     counts = mixed.groupBy("band").agg(
         F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / TILE_LEFT).cast("int").alias("lefts"),
         F.ceil(F.count("*") / TILE_RIGHT).cast("int").alias("rights"))
@@ -169,8 +169,8 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
         return out.select("band", "main", "key", "label", "pivot", "fine", "bands", F.col(pair[0]).alias("i"),
                           F.col(pair[1]).alias("j"))
 
-    left = dealt(sized.where("label <> main"), "lefts", "left", "rights")
-    right = dealt(sized, "rights", "right", "lefts")
+    left = dealt(sized.where("label <> main").join(fine, "key"), "lefts", "left", "rights")
+    right = dealt(sized.join(fine, "key"), "rights", "right", "lefts")
     right = right.toDF(*right.columns)  # columns of its own, as both sides read one table
     by = ["band", "i", "j"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare_tiles, PAIR)
@@ -270,7 +270,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     mixed = durable(labelled.join(largest.where("labels > 1").drop("labels"), "band"))
     fine = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", fine_sketch("text").alias("fine"))
     fine = durable(fine.join(signed.select("key", "bands"), "key"))
-    rest = durable(_cross_pairs(mixed.drop("low", "high").join(fine, "key")))
+    rest = durable(_cross_pairs(mixed.drop("low", "high"), fine))
     more = _similar(rest, texts, threshold)
     if more.isEmpty():
         return roots.select(F.col("node").alias("key"), "root")
