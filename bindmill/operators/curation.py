@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bindmill.operators.grouping import HOT_ROWS, first_per_key, split_hot
+from bindmill.operators.grouping import first_per_key
 from bindmill.session import durable
 
 SIGMA_SLACK = 1e-9      # two-value groups have |z| = 1 up to rounding
@@ -40,13 +40,13 @@ class CurationRoles:
         return [F.col(c).asc_nulls_last() for c in self.ties]
 
 
-def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
+def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool,
+           distance_digits: int = DISTANCE_DIGITS) -> DataFrame:
     """One row per (molecule, sequence) with ``z`` and ``z_reason``.
 
-    Ordinary interactions are exchanged once and all steps run on that one
-    partitioning. Interactions with a huge number of measurements take a second
-    way that never gathers them: picks reduce before the exchange and the group
-    statistics come back by broadcast, as only a bounded number of keys is hot.
+    Both picks drop rows before their exchange and the group statistics are partial sums, so an interaction of any
+    size takes the same way and is never gathered. The picked rows are stored once, as the statistics and the join
+    read them both. Distances to the mean that agree to ``distance_digits`` decimals are ties.
     """
     rows = rows.na.drop(subset=[*roles.interaction, roles.measure])
     if chain_dedup:
@@ -56,21 +56,10 @@ def curate(rows: DataFrame, roles: CurationRoles, chain_dedup: bool, hot_rows: i
     else:
         structure_order = [F.col(roles.accession), *roles.quality, *roles.tie_order]
 
-    ordinary, hot = split_hot(rows, roles.interaction, hot_rows)
-    per_value = [roles.molecule, roles.measure, roles.sequence]
-
-    ordinary = first_per_key(ordinary.repartition(*roles.interaction), per_value, structure_order)
-    group = W.partitionBy(*roles.interaction)
-    stats = _group_stats(F.col(roles.measure))
-    ordinary = ordinary.withColumns({name: stat.over(group) for name, stat in stats.items()})
-
-    curated = _nearest_to_mean(ordinary, roles, structure_order)
-    if hot is None:
-        return curated
-    hot = first_per_key(hot, per_value, structure_order)
-    hot_stats = hot.groupBy(*roles.interaction).agg(*[stat.alias(name) for name, stat in stats.items()])
-    hot = hot.join(F.broadcast(hot_stats), roles.interaction)  # one row per hot key
-    return curated.unionByName(_nearest_to_mean(hot, roles, structure_order))
+    picked = durable(first_per_key(rows, [roles.molecule, roles.measure, roles.sequence], structure_order))
+    stats = [stat.alias(name) for name, stat in _group_stats(F.col(roles.measure)).items()]
+    per_group = picked.groupBy(*roles.interaction).agg(*stats)
+    return _nearest_to_mean(picked.join(per_group, roles.interaction), roles, structure_order, distance_digits)
 
 
 def _group_stats(measure: Column) -> dict[str, Column]:
@@ -78,7 +67,8 @@ def _group_stats(measure: Column) -> dict[str, Column]:
             "_low": F.min(measure), "_high": F.max(measure)}
 
 
-def _nearest_to_mean(df: DataFrame, roles: CurationRoles, structure_order: list[Column]) -> DataFrame:
+def _nearest_to_mean(df: DataFrame, roles: CurationRoles, structure_order: list[Column],
+                     distance_digits: int) -> DataFrame:
     """Row closest to the group mean.
 
     With population deviation some |z| <= 1 always exists, so the smallest |z|
@@ -89,7 +79,7 @@ def _nearest_to_mean(df: DataFrame, roles: CurationRoles, structure_order: list[
     z = F.when(conflict, (measure - F.col("_mean")) / F.col("_std"))
     reason = (F.when(F.col("z").isNull(), "identical_or_single_value")
               .when(F.abs("z") <= 1 + SIGMA_SLACK, "within_range").otherwise("outlier_kept"))
-    distance = F.when(conflict, F.round(F.abs(measure - F.col("_mean")), DISTANCE_DIGITS)).otherwise(F.lit(0.0))
+    distance = F.when(conflict, F.round(F.abs(measure - F.col("_mean")), distance_digits)).otherwise(F.lit(0.0))
     picked = first_per_key(df.withColumn("z", z), roles.interaction, [distance, *structure_order])
     return picked.withColumn("z_reason", reason).drop(*_group_stats(measure))
 

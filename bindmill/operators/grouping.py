@@ -8,13 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindmill.session import durable
 
-HOT_ROWS = 1_000_000    # smaller groups are never hot
-HOT_KEYS = 100_000      # at most this many groups are treated as hot
-HOT_SAMPLE = 1_000      # expected sampled rows of a group that is just hot
-BIN_ROWS = 1_000_000    # running totals aim at this many rows per bin ...
-BINS = (16, 4096)       # ... with at least and at most so many bins (powers of two)
+BIN_ROWS = 1_000_000    # running totals aim at this many rows per bin
+LEAST_BINS = 16         # a power of two
 BIN_SAMPLE = 256        # sampled rows per bin that place the cuts
-SMALL_SIDE = 256_000    # cuts or offsets up to this many numbers are broadcast
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -27,30 +23,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with about ``min_rows`` rows or more, at most ``HOT_KEYS`` of them.
-
-    Counted on a row sample that gives a hot group a thousand rows, so only a
-    small share of the keys is exchanged. The sample only decides which way a
-    group takes, never a result; the list is stored, as every branch must use
-    the same one.
-    """
-    share = min(1.0, HOT_SAMPLE / min_rows)
-    sampled = df.select(F.xxhash64(*keys).alias("hot")).sample(share, 42)
-    counted = sampled.groupBy("hot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share * min_rows / 2)
-    return durable(counted.orderBy(F.desc("n"), "hot").limit(HOT_KEYS).select("hot"))
-
-
-def split_hot(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary groups, rows of hot groups or None if there are none)."""
-    hot = hot_hashes(df, keys, min_rows)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(hot)  # HOT_KEYS numbers
-    listed = F.xxhash64(*[df[k] for k in keys]) == hot["hot"]
-    return df.join(hot, listed, "left_anti"), df.join(hot, listed, "left_semi")
-
-
 def duplicate_flags(df: DataFrame, keys: list[str], order: list[str], flag: str = "is_duplicate") -> DataFrame:
     """Mark every row after the first of its key. ``order`` must identify a row.
 
@@ -84,15 +56,14 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
     """
     df = durable(df.select(*groups, order, *amounts))
     n = max(df.count(), 1)
-    bins = min(max(1 << math.ceil(math.log2(max(n / BIN_ROWS, 1))), BINS[0]), BINS[1])
+    bins = max(1 << math.ceil(math.log2(max(n / BIN_ROWS, 1))), LEAST_BINS)
     steps = [i / bins for i in range(1, bins)]
     cuts = df.sample(min(1.0, bins * BIN_SAMPLE / n), 42).groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(order, steps)).alias("_cuts"))
+        F.array_distinct(F.percentile_approx(order, steps, max(10_000, 4 * bins))).alias("_cuts"))
     totals = df.groupBy(*groups).agg(*[F.sum(a).alias(f"{a}_total") for a in amounts])
     cuts = durable(totals.join(cuts, groups, "left"))
-    small = cuts.count() * bins <= SMALL_SIDE
     below = F.coalesce(_cuts_below("_cuts", order, bins), F.lit(0))
-    binned = _attach(df, cuts, groups, small).withColumn("_bin", below).drop("_cuts")
+    binned = df.join(cuts, groups).withColumn("_bin", below).drop("_cuts")
 
     sums = binned.groupBy(*groups, "_bin").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     over_bins = W.partitionBy(*groups).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
@@ -101,7 +72,7 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amounts: list[s
 
     in_bin = (W.partitionBy(*groups, "_bin").orderBy(order)
               .rowsBetween(W.unboundedPreceding, -1))
-    joined = _attach(binned, offsets, [*groups, "_bin"], small)
+    joined = binned.join(offsets, [*groups, "_bin"])
     running = [(F.col(f"_{a}_offset") + F.coalesce(F.sum(a).over(in_bin), F.lit(0))).alias(f"{a}_before")
                for a in amounts]
     return joined.select(*df.columns, *running, *[f"{a}_total" for a in amounts])
@@ -112,8 +83,3 @@ def _cuts_below(cuts: str, value: str, bins: int) -> Column:
     halves = F.array(*[F.lit(bins >> i) for i in range(1, bins.bit_length())])
     return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(
         F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
-
-
-def _attach(df: DataFrame, side: DataFrame, on: list[str], small: bool) -> DataFrame:
-    """Join a side with at most one entry per group and bin; broadcast it only when it is small."""
-    return df.join(F.broadcast(side) if small else side, on)

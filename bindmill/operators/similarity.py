@@ -1,23 +1,22 @@
 """Pair similarity on exact-size seeded samples.
 
-All pairs are scored only inside a sample whose size is a parameter with an
-upper limit. Scores are counted inside the task that computes them, so pair
-rows never leave it.
+All pairs are scored only inside a sample whose size is a parameter. Its rows are dealt into blocks by hash, blocks meet
+by an ordinary join, and scores are counted inside the task that computes them, so pair rows never leave it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bindmill.operators.dedup import exact_sample
 from bindmill.session import durable
 
-MAX_SAMPLE = 5_000
-BLOCK = 128
+BLOCK = 128  # rows per block, on average
 SCORE_DIGITS = 6
 FINGERPRINT_BITS = 2048
 
@@ -65,15 +64,13 @@ def pair_scores(df: DataFrame, key: str, vector: str, sample: int, seed: int = 4
     Cosine of dense vectors, or Tanimoto of set-bit arrays when ``bits`` is given.
     The sample is cut into blocks; each block meets each later block once.
     """
-    if sample > MAX_SAMPLE:
-        raise ValueError(f"pair scores are limited to samples of {MAX_SAMPLE} rows")
     rows = exact_sample(df, key, sample, seed).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(W.orderBy("k")) - 1) / BLOCK).cast("int"))
-    blocks = durable(numbered.groupBy("block").agg(F.collect_list("v").alias("left")))  # at most MAX_SAMPLE vectors
-    last = blocks.agg(F.max("block").alias("b")).scalar()
-    partners = blocks.select("block", "left", F.explode(F.sequence(F.col("block"), last)).alias("partner"))
-    meeting = partners.repartition("block", "partner").join(
-        F.broadcast(blocks.select(F.col("block").alias("partner"), F.col("left").alias("right"))), "partner")
+    n_blocks = max(1, math.ceil(sample / BLOCK))
+    block = F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int")
+    blocks = durable(rows.groupBy(block.alias("block")).agg(F.collect_list("v").alias("left")))
+    partners = blocks.select("block", "left", F.explode(F.sequence("block", F.lit(n_blocks - 1))).alias("partner"))
+    meeting = partners.join(blocks.select(F.col("block").alias("partner"), F.col("left").alias("right")),
+                            "partner").repartition("block", "partner")
     score = _tanimoto if bits else _cosine
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

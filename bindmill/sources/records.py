@@ -1,9 +1,9 @@
 """Structure record files: scans and parsers of fixed-width and loop records.
 
 A record frame has ``file_name``, ``entry_id``, ``line_no`` and ``value``.
-``line_no`` orders the lines of a file: the byte offset of the input split in
-the upper bits, the row's place in its task in the lower ones. Files are
-therefore split over tasks like any other text, and none is read whole.
+``line_no`` orders the lines of a file: the byte offset of the input split,
+then the row's place in its task. Files are therefore split over tasks like
+any other text, and none is read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from bindmill.functions.scalars import digits_to_int, entry_of_file, fixed_field
 
-ROW_BITS = 31  # rows of one task; leaves offsets up to 4 GiB
+ROW_BITS = 33  # of a monotonically increasing id, below the number of the task
 
 
 def read_records(spark: SparkSession, path: str, extension: str) -> DataFrame:
@@ -20,8 +20,8 @@ def read_records(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return lines.select(
         F.col("_metadata.file_name").alias("file_name"),
         entry_of_file(F.col("_metadata.file_name")).alias("entry_id"),
-        (F.col("_metadata.file_block_start") * (1 << ROW_BITS)
-         + F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)).alias("line_no"),
+        F.struct(F.col("_metadata.file_block_start").alias("block_start"),
+                 F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1).alias("row")).alias("line_no"),
         "value",
     )
 

@@ -184,22 +184,31 @@ def _random_measures(spark, seed=7, n=4000):
 
 
 @pytest.mark.parametrize("chain_dedup", [False, True])
-def test_hot_groups_give_the_same_labels(spark, chain_dedup):
+def test_labels_do_not_follow_the_input_order(spark, chain_dedup):
     df = _random_measures(spark)
-    ordinary = curation.curate(df, ROLES, chain_dedup)
-    split = curation.curate(df, ROLES, chain_dedup, hot_rows=30)
-    assert not grouping.hot_hashes(df, ["mol", "seq"], 30).isEmpty()
     shown = ["mol", "seq", "v", "e", "c", F.round("z", 9).alias("z"), "z_reason"]
-    assert values(split, *shown) == values(ordinary, *shown)
+    other = df.orderBy(F.xxhash64("e", "v")).repartition(5)
+    assert values(curation.curate(other, ROLES, chain_dedup), *shown) == values(
+        curation.curate(df, ROLES, chain_dedup), *shown)
 
 
-def test_hot_keys_are_found(spark):
-    df = _random_measures(spark)
-    big = grouping.hot_hashes(df, ["mol", "seq"], 1000)
-    assert values(big) == values(df.filter("mol = 'm0' AND seq = 's0'").select(F.xxhash64("mol", "seq")).distinct())
-    cold, hot = grouping.split_hot(df, ["mol", "seq"], 1000)
-    assert cold.count() + hot.count() == df.count()
-    assert grouping.split_hot(df, ["mol", "seq"])[1] is None
+def test_distance_digits(spark):
+    rows = [("m", "s", 6.0, "e2", "A", 0.9, 2.0, "P"), ("m", "s", 7.00004, "e1", "A", 0.9, 2.0, "P")]
+    rows.append(("m", "s", 8.0001, "e3", "A", 0.9, 2.0, "P"))
+    rows.append(("m", "s", 7.0000, "e0", "A", 0.9, 2.0, "P"))  # nearly as near to the mean as e1
+    df = spark.createDataFrame(rows, MEASURES)
+    assert curation.curate(df, ROLES, False).first().e == "e1"
+    assert curation.curate(df, ROLES, False, distance_digits=3).first().e == "e0"
+
+
+def test_ranks_are_narrowed(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    monkeypatch.setattr(sampling, "STEP_DIGITS", 1)
+    monkeypatch.setattr(sampling, "RANKED_KEYS", 3)
+    tokens = sorted(r.t for r in df.select(sampling.token(["k"], 1).alias("t")).collect())
+    cuts = sampling.rank_tokens(df, ["k"], 1, lambda n: {"a": 1, "b": n // 2, "c": n, "none": 0, "far": n + 1})
+    assert cuts == {"a": tokens[0], "b": tokens[1499], "c": tokens[-1], "none": None, "far": None}
+    assert sampling.rank_tokens(df.limit(0), ["k"], 1, lambda n: {"a": n}) == {"a": None}
 
 
 def test_curation_against_brute_force(spark):
@@ -367,8 +376,6 @@ def test_pair_scores(spark):
     row = similarity.pair_summary(similarity.pair_scores(df, "id", "v", 400), (0.5,)).first()
     assert row.n_pairs == len(want) and row.median_score == pytest.approx(np.median(want))
     assert row.ordered_above_50 == 2 * (want > 0.5).sum()
-    with pytest.raises(ValueError):
-        similarity.pair_scores(df, "id", "v", similarity.MAX_SAMPLE + 1)
 
 
 def test_fingerprints(spark):
