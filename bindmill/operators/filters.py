@@ -44,6 +44,11 @@ def keep_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
+def drop_columns(df: DataFrame, unwanted: list[str]) -> DataFrame:
+    """All columns but the unwanted ones; names that are not there are passed over."""
+    return df.select(*[c for c in df.columns if c not in unwanted])
+
+
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
     return df.select(*first, *[c for c in df.columns if c not in first])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindmill.functions.scalars import has_word
+from bindmill.functions.scalars import cosine, dot, has_word, set_tanimoto
 from bindmill.operators import cascade, filters
 from bindmill.queries.common import big, r6, table
 from bindmill.schema import matching_columns, numeric_columns, require_columns
@@ -135,6 +135,20 @@ def projected_columns(spark: SparkSession, folder: str) -> DataFrame:
         "MolBalance", "mol_balance")
 
 
+def dropped_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.drop_columns(table(spark, folder, "supplier"), ["s_name", "s_acctbal", "not_there"])
+
+
+def column_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Dot product, cosine and set similarity of two columns of each row."""
+    part = table(spark, folder, "part")
+    a, b = F.array("p_size", "p_retailprice"), F.array("p_retailprice", "p_partkey")
+    names, kinds = F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")
+    return part.select("p_partkey", F.round(dot(a, b), 2).alias("dot"),
+                       F.round(cosine(a, b), 6).alias("cosine"),
+                       F.round(set_tanimoto(names, kinds), 6).alias("tanimoto"))
+
+
 QUERIES = {
     "measure_rows": measure_rows, "present_rows": present_rows, "null_keeping_rows": null_keeping_rows,
     "same_origin": same_origin, "exclusion_reasons": exclusion_reasons, "exclusion_outputs": exclusion_outputs,
@@ -142,6 +156,7 @@ QUERIES = {
     "long_texts": long_texts, "gated_groups": gated_groups, "ratio_gated_groups": ratio_gated_groups,
     "column_quality": column_quality, "weak_columns_dropped": weak_columns_dropped,
     "complete_rows": complete_rows, "projected_columns": projected_columns,
+    "dropped_columns": dropped_columns, "column_scores": column_scores,
 }
 
 _JUDGED = """
@@ -210,4 +225,13 @@ WHERE n_doubtful / greatest(n_valid, 1) > 0.5""",
 SELECT 'any' AS subset, count(*) AS n FROM lineitem WHERE l_tax <> 0 AND l_discount <> 0
 UNION ALL SELECT 'gappy', count(*) FROM lineitem WHERE l_tax <> 0""",
     "projected_columns": "SELECT c_custkey, c_mktsegment AS segment, c_acctbal AS mol_balance FROM customer",
+    "dropped_columns": "SELECT s_suppkey, s_nationkey FROM supplier",
+    "column_scores": """
+WITH v AS (
+  SELECT p_partkey, [p_size, p_retailprice]::DOUBLE[] AS a, [p_retailprice, p_partkey]::DOUBLE[] AS b,
+         string_split(lower(p_name), ' ') AS n, string_split(lower(p_type), ' ') AS k FROM part)
+SELECT p_partkey, round(list_dot_product(a, b), 2) AS dot, round(list_cosine_similarity(a, b), 6) AS cosine,
+       round(len(list_intersect(list_distinct(n), list_distinct(k))) / len(list_distinct(list_concat(n, k))), 6)
+         AS tanimoto
+FROM v""",
 }
