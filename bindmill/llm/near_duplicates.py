@@ -9,8 +9,9 @@ later than the latest component, so a signature costs about one point per shingl
 
 Documents that agree in a whole band are compared by the exact overlap of their multisets, never pair by pair within a
 band: first each with the band's smallest member, then, in bands that still hold several groups, members outside the
-largest group with those of other groups that a finer signature does not rule out. Two documents that share a band and are similar therefore end in one group,
-and the work stays near the size of the bands.
+largest group with those of other groups that a finer signature does not rule out. Members meet in tiles of bounded
+size, which give only the links that join two groups, so a drifting group of near copies gives no more links than it
+has members in a tile. Two documents that share a band and are similar end in one group.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SKETCH_AGREE = 94
 #: For members of bands that hold several groups: four bits of each of 2,016 components, and how many of them a pair
 #: needs to agree in to be compared, again five standard deviations below what 0.8 gives (1,638, deviation 17.5).
 FINE_SIZE, FINE_AGREE = 2016, 1550
+SHORT = 2000  # shingles of a text that is compared where its sketch is; pairs with a longer text are joined with the texts
 TILE_LEFT, TILE_RIGHT = 1000, 4000  # members of a band that are held against each other in one task
 KEPT_CHARS = 8_000_000  # of texts whose shingles a task keeps while it checks pairs
 BATCH = 400  # documents whose signatures are made together
@@ -114,23 +116,36 @@ def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["bands", "low", "high"])
 
 
-@F.pandas_udf(T.BinaryType())
-def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Four bits of each of ``FINE_SIZE`` components, two to a byte."""
+FINE = T.StructType().add("fine", "binary").add("elements", "binary")
+
+
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The multiset as a sorted set: one hash of each shingle and each of its repeats."""
+    value, count = bag
+    repeat = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        return np.sort(scatter(np.repeat(value, count) + scatter(repeat.astype(np.uint64))))
+
+
+@F.pandas_udf(FINE)
+def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Four bits of each of ``FINE_SIZE`` components, two to a byte; the elements of texts that are ``SHORT``."""
     hashes = RangeHash()
     for texts in batches:
-        out: list[bytes] = []
+        out: list[tuple[bytes, bytes | None]] = []
         for begin in range(0, len(texts), BATCH // 8):
             bags = [shingles(t, hashes) for t in texts.iloc[begin:begin + BATCH // 8]]
             owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
             signature = bag_minhash(owner, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]),
                                     len(bags), FINE_SIZE)
             bits = (scatter(signature.view(np.uint64)) & np.uint64(15)).astype(np.uint8)
-            out += [row.tobytes() for row in bits[:, ::2] << 4 | bits[:, 1::2]]
-        yield pd.Series(out, dtype=object)
+            packed = bits[:, ::2] << 4 | bits[:, 1::2]
+            out += [(row.tobytes(), elements(bag).tobytes() if bag[1].sum() <= SHORT else None)
+                    for row, bag in zip(packed, bags)]
+        yield pd.DataFrame(out, columns=["fine", "elements"])
 
 
-PAIR = T.StructType().add("a", "binary").add("b", "binary")
+PAIR = T.StructType().add("a", "binary").add("b", "binary").add("similar", "boolean")
 
 
 def _components(fine: pd.Series) -> np.ndarray:
@@ -138,31 +153,55 @@ def _components(fine: pd.Series) -> np.ndarray:
     return np.concatenate([packed >> 4, packed & 15], axis=1)
 
 
-def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different groups whose fine sketches agree enough, each in the first band that both share."""
-    a, b = [], []
+def _alike_sets(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common / (len(x) + len(y) - common) >= threshold
+
+
+def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of different groups whose fine sketches agree enough, each in the first band that both share.
+
+    Pairs of short texts are decided here by their elements, and only those that join two groups are given; pairs with
+    a longer text are given undecided.
+    """
+    a, b, similar = [], [], []
     if len(left) and len(right):
         band, main = left["band"].iloc[0], left["main"].iloc[0]
         x, y = (_components(f["fine"]) for f in (left, right))
         bands_x, bands_y = (np.array(f["bands"].tolist()) for f in (left, right))
-        labels, keys = right["label"].to_numpy(), right["key"].to_numpy()
-        is_main = np.array([v == main for v in labels])
-        for k, (key, label, pivot) in enumerate(zip(left["key"], left["label"], left["pivot"])):
+        sets_x, sets_y = ([None if e is None else np.frombuffer(e, np.uint64) for e in f["elements"]]
+                          for f in (left, right))
+        names = {label: n for n, label in enumerate(dict.fromkeys([*left["label"], *right["label"]]))}
+        group_x, group = (np.array([names[v] for v in f["label"]]) for f in (left, right))
+        own = np.arange(len(names))  # a label's group, by links found in this tile
+        keys = right["key"].to_numpy()
+        is_main = np.array([v == main for v in right["label"]])
+        for k, (key, pivot) in enumerate(zip(left["key"], left["pivot"])):
             if key == pivot:
                 continue  # compared before, as the others are with the pivot below
-            near = np.flatnonzero((y == x[k]).sum(axis=1) >= FINE_AGREE)
+            apart = np.flatnonzero(own[group] != own[group_x[k]])
+            near = apart[(y[apart] == x[k]).sum(axis=1) >= FINE_AGREE]
             for j in near.tolist():
-                if labels[j] == label or keys[j] == pivot or not (is_main[j] or key < keys[j]):
+                if own[group[j]] == own[group_x[k]] or keys[j] == pivot or not (is_main[j] or key < keys[j]):
                     continue
                 shared = np.flatnonzero(bands_x[k] == bands_y[j])
-                if bands_x[k][shared[0]] == band:
-                    a.append(key)
-                    b.append(keys[j])
-    return pd.DataFrame({"a": a, "b": b})
+                if bands_x[k][shared[0]] != band:
+                    continue
+                short = sets_x[k] is not None and sets_y[j] is not None
+                if short and not _alike_sets(sets_x[k], sets_y[j], threshold):
+                    continue
+                a.append(key)
+                b.append(keys[j])
+                similar.append(short)
+                if short:
+                    own[own == own[group[j]]] = own[group_x[k]]
+    return pd.DataFrame({"a": a, "b": b, "similar": similar})
 
 
-def _cross_pairs(mixed: DataFrame, fine: DataFrame) -> DataFrame:
-    """(band, main, key, label, pivot), (key, fine, bands) -> pairs to check, by tiles of bounded size."""
+def _cross_pairs(mixed: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
+    """(band, main, key, label, pivot), (key, fine, elements, bands) -> links and pairs to check, by bounded tiles."""
     counts = mixed.groupBy("band").agg(
         F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / TILE_LEFT).cast("int").alias("lefts"),
         F.ceil(F.count("*") / TILE_RIGHT).cast("int").alias("rights"))
@@ -172,14 +211,18 @@ def _cross_pairs(mixed: DataFrame, fine: DataFrame) -> DataFrame:
         tile = F.pmod(F.xxhash64(F.lit(salt), "key"), F.col(own)).cast("int")
         out = df.withColumn("own", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         pair = ("own", "other") if own == "lefts" else ("other", "own")
-        return out.select("band", "main", "key", "label", "pivot", "fine", "bands", F.col(pair[0]).alias("i"),
+        return out.select("band", "main", "key", "label", "pivot", "fine", "elements", "bands", F.col(pair[0]).alias("i"),
                           F.col(pair[1]).alias("j"))
 
     left = dealt(sized.where("label <> main").join(fine, "key"), "lefts", "left", "rights")
     right = dealt(sized.join(fine, "key"), "rights", "right", "lefts")
     right = right.toDF(*right.columns)  # columns of its own, as both sides read one table
     by = ["band", "i", "j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare_tiles, PAIR)
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return _compare_tiles(x, y, threshold)
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, PAIR)
 
 
 def overlap(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
@@ -274,10 +317,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> Da
     sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
     mixed = durable(labelled.join(largest.where("labels > 1").drop("labels"), "band"))
-    fine = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", fine_sketch("text").alias("fine"))
-    fine = durable(fine.join(signed.select("key", "bands"), "key"))
-    rest = durable(_cross_pairs(mixed.drop("low", "high"), fine))
-    more = _similar(rest, texts, threshold)
+    fine = texts.join(mixed.select("key").distinct(), "key", "left_semi").select("key", fine_sketch("text").alias("f"))
+    fine = durable(fine.select("key", "f.*").join(signed.select("key", "bands"), "key"))
+    rest = durable(_cross_pairs(mixed.drop("low", "high"), fine, threshold))
+    decided = _similar(rest.where("not similar").drop("similar"), texts, threshold)
+    more = rest.where("similar").select("a", "b").union(decided.select("a", "b"))
     if more.isEmpty():
         return roots.select(F.col("node").alias("key"), "root")
     # links between groups: a small graph of its own, whose roots replace those of the groups

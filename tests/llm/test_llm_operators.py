@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bindmill.llm.hashing import RangeHash
 from bindmill.llm import (decontamination, mixing, near_duplicates, pii, quality_model, quality_rules, repeats, sharding,
                           token_counts, urls)
 from bindmill.llm.common import number_rows
@@ -367,6 +368,41 @@ def test_drifting_copies_form_the_same_classes(spark):
     assert {r.doc_id: r.class_id for r in got} == classes(rows)
 
 
+def test_elements_give_the_overlap_of_multisets():
+    hashes, rng = RangeHash(), np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "c"], 80)) for _ in range(12)]
+    bags = [near_duplicates.shingles(t, hashes) for t in texts]
+    for a in bags:
+        for b in bags:
+            exact = near_duplicates.overlap(a, b)
+            sets = near_duplicates.elements(a), near_duplicates.elements(b)
+            assert near_duplicates._alike_sets(*sets, exact)
+            assert exact == 1 or not near_duplicates._alike_sets(*sets, exact + 1e-6)
+
+
+@pytest.mark.parametrize("words", [300, 2600])
+def test_near_duplicates_of_a_drifting_group(spark, words):
+    """Copies that differ in more and more places, so that many pairs lie on both sides of the threshold."""
+    rng, hashes = np.random.default_rng(words), RangeHash()
+    base = [f"w{i}" for i in rng.integers(0, 5000, words)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for at in rng.choice(words, int(words * rng.uniform(0.005, 0.04)), replace=False):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    bags = [near_duplicates.shingles(t, hashes) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_duplicates.overlap(bags[i], bags[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(root))
+    assert 1 < len(set(root)) < 85
+
+
 def test_near_duplicates_of_awkward_rows(edge_docs, no_docs):
     got = near_duplicates.near_duplicates(edge_docs).collect()
     assert len(got) == 10 and {r.class_id for r in got if r.doc_id in (1, 2)} == {1} and {r.class_id for r in got if r.doc_id in (3, 4)} == {3}
