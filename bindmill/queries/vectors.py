@@ -1,4 +1,4 @@
-"""Embedding statistics, pair similarity on samples, token pooling, per-distinct features, PCA."""
+"""Embedding statistics, pair similarity on samples and near-duplicate pairs of whole tables, token pooling, per-distinct features, PCA."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from bindmill.queries.common import big, r6, table
 PROTEIN_SAMPLE = 300
 ROW_SAMPLE = 1000
 TEXT_SAMPLE = 400
+NEAR_COSINE, NEAR_TEXT = 0.95, 0.8
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -98,6 +99,14 @@ def text_tanimoto(spark: SparkSession, folder: str) -> DataFrame:
     return _summary(scores, (0.2, 0.4))
 
 
+def near_duplicate_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.near_duplicate_vectors(_embeddings(spark, folder), "vec_id", "embedding", NEAR_COSINE)
+
+
+def near_duplicate_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.near_duplicate_texts(table(spark, folder, "documents"), "doc_id", "text", NEAR_TEXT)
+
+
 def pooled_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Mean over the inner turns of each conversation; first and last turn play the boundary tokens."""
     turns = table(spark, folder, "conversations")
@@ -143,7 +152,8 @@ def pca_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dimension_stats, near_constant, top_variance, norm_stats, norm_by_label, mean_vectors, dimension_correlations,
-    correlation_summary, vector_export, protein_cosines, feature_cosines, text_tanimoto, pooled_tokens,
+    correlation_summary, vector_export, protein_cosines, feature_cosines, text_tanimoto, near_duplicate_vectors,
+    near_duplicate_texts, pooled_tokens,
     per_distinct_features, pca_variance, components_needed,
     brands_needed, pca_scores)}
 
@@ -202,6 +212,23 @@ v AS (SELECT doc_id AS k, list_distinct(list_transform(range(1, greatest(len(w),
         ('0x' || substr(md5(w[i] || ' ' || w[i + 1]), 1, 6))::INT % 2048)) AS b FROM d)""" + _pairs(
         "v", "CASE WHEN len(a.b) + len(b.b) = 0 THEN 1 ELSE len(list_intersect(a.b, b.b))::DOUBLE / "
              "(len(a.b) + len(b.b) - len(list_intersect(a.b, b.b))) END", (0.2, 0.4)),
+    "near_duplicate_vectors": f"""
+WITH d AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS k, count(*) AS n FROM embeddings GROUP BY ALL),
+p AS (SELECT a.k AS a, b.k AS b, a.n * b.n AS n_pairs, round(list_cosine_similarity(a.v, b.v), 6) AS score
+      FROM d a JOIN d b ON a.k < b.k)
+SELECT * FROM p WHERE score > {NEAR_COSINE}::DOUBLE
+UNION ALL SELECT k, k, n * (n - 1) // 2, 1::DOUBLE FROM d WHERE n > 1""",
+    "near_duplicate_texts": f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT w, min(doc_id) AS k, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+g AS (SELECT DISTINCT k, n, unnest(list_transform(range(1, greatest(len(w), 2)), lambda i: concat_ws(' ', w[i], w[i + 1]))) AS g
+      FROM d),
+s AS (SELECT k, any_value(n) AS n, count(*) AS size FROM g GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+p AS (SELECT a, b, x.n * y.n AS n_pairs, round(c::DOUBLE / (x.size + y.size - c), 6) AS score
+      FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b)
+SELECT * FROM p WHERE score > {NEAR_TEXT}::DOUBLE
+UNION ALL SELECT k, k, n * (n - 1) // 2, 1::DOUBLE FROM d WHERE n > 1""",
     "pooled_tokens": """
 SELECT conv_id, round(avg(length(text)), 6) + 0.0 AS p1, round(avg((role = 'user')::INT), 6) + 0.0 AS p2
 FROM conversations JOIN (SELECT conv_id, max(turn) - 1 AS last FROM conversations GROUP BY conv_id) USING (conv_id)

@@ -387,6 +387,50 @@ def test_fingerprints(spark):
     assert {round(r.score, 3): r.n for r in scores.collect()} == {0.667: 1, 0.0: 4, 1.0: 1}
 
 
+def test_near_duplicate_vectors_of_a_whole_table(spark, monkeypatch):
+    """Recall against the exact self-join of the embeddings at sf0.01 with near and equal copies; every score is exact."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()])
+    rng = np.random.default_rng(4)
+    near = x[:400].repeat(3, axis=0)
+    near = near + rng.normal(size=near.shape) * near.std() * rng.uniform(0.05, 0.4, size=(len(near), 1))
+    x = np.concatenate([x, near, x[:50], x[:1].repeat(20, axis=0) + rng.normal(size=(20, 64)) * 0.01])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, [0.0] * 64), (9002, None), (9003, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for tile in (1000, 7):
+        monkeypatch.setattr(similarity, "TILE", tile)
+        got = similarity.near_duplicate_vectors(df, "id", "v", 0.95).collect()
+        want = {(a, b) for a, b in zip(*np.nonzero(np.triu(score, 1) > 0.95))}
+        first = {tuple(v): i for i, v in reversed(list(enumerate(x.tolist())))}
+        root = [first[tuple(v)] for v in x.tolist()]
+        nodes = {(min(root[a], root[b]), max(root[a], root[b])) for a, b in want}
+        found = {(r.a, r.b) for r in got}
+        assert found <= nodes and len(found) == len(got) and len(found) >= 0.995 * len(nodes) and len(want) > 1000
+        assert all(r.score == pytest.approx(score[r.a, r.b], abs=2e-6) for r in got)
+        assert sum(r.n_pairs for r in got) >= 0.995 * len(want)
+
+
+def test_near_duplicate_texts_of_a_whole_table(spark, monkeypatch):
+    """Recall against the exact self-join of all documents at sf0.01."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text.lower().split()) for r in df.collect() if r.text and r.text.split()]
+    grams = {i: {" ".join(w[k:k + 2]) for k in range(max(1, len(w) - 1))} for i, w in texts}
+    ids = sorted(grams)
+    want = set()
+    for n, i in enumerate(ids):
+        for j in ids[n + 1:]:
+            x, y = grams[i], grams[j]
+            if min(len(x), len(y)) > 0.8 * max(len(x), len(y)) and (c := len(x & y)) / (len(x) + len(y) - c) > 0.8000005:
+                want.add((i, j))
+    monkeypatch.setattr(similarity, "TILE", 5)
+    got = similarity.near_duplicate_texts(df, "doc_id", "text", 0.8).collect()
+    assert len(want) > 10 and sum(r.n_pairs for r in got) >= 0.995 * len(want)
+    assert all((r.a, r.b) in want for r in got if r.a != r.b) and sum(r.n_pairs for r in got) <= len(want)
+    odd = spark.createDataFrame([(1, ""), (2, None), (3, "one"), (4, "One"), (5, "two"), (None, "one")], "id long, t string")
+    assert values(similarity.near_duplicate_texts(odd, "id", "t"), "a", "b", "n_pairs", "score") == [(3, 3, 1, 1.0)]
+
+
 # --- models ---------------------------------------------------------------------
 
 def test_model_selection(spark, tmp_path):
