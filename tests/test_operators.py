@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bindmill.functions import scalars
 from bindmill.operators import (cascade, curation, dedup, filters, grouping, linking, metrics, models, profiling,
                                 sampling, scaling, similarity, splitting, vectors)
+from bindmill.queries import learning
 from bindmill.schema import matching_columns, nan_to_null, numeric_columns, require_columns
 from bindmill.sources import sinks
 
@@ -433,6 +434,20 @@ def test_near_duplicate_texts_of_a_whole_table(spark, monkeypatch):
 
 # --- models ---------------------------------------------------------------------
 
+def test_selection_queries_search_the_whole_ranges(spark, small, monkeypatch):
+    """What the registered queries fit is drawn from the operators' own ranges; the fits here are cut short."""
+    asked = {"trees": [], "networks": []}
+    trees, network = models.boosted_trees, models.feed_forward
+    monkeypatch.setattr(models, "boosted_trees", lambda p: asked["trees"].append(p) or trees({**p, "maxIter": 2, "maxDepth": 2}))
+    monkeypatch.setattr(models, "feed_forward", lambda p, n: asked["networks"].append(p) or network({**p, "maxIter": 3}, n))
+    assert learning.QUERIES["selected_model_report"](spark, small).count() > 0
+    assert learning.QUERIES["selected_network_report"](spark, small).count() > 0
+    by_trial = lambda found: sorted(map(str, found))
+    assert by_trial(asked["trees"]) == by_trial(models.draw_tree_params(learning.TREE_TRIALS))
+    assert by_trial(asked["networks"]) == by_trial(models.draw_network_params(learning.NETWORK_TRIALS))
+    assert learning.QUERIES["boosted_tree_report"](spark, small).count() > 0 and asked["trees"][-1]["maxIter"] >= 100
+
+
 def test_model_selection(spark, tmp_path):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 3))
