@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from bindmill.operators.vectors import vector_hygiene
+from bindmill.session import durable
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -18,6 +22,49 @@ def concat_features(df: DataFrame, blocks: list[str], name: str = "features") ->
         *[b for b in blocks if b != name])
 
 
+def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fill: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(rows, report): rows whose vector columns have no gaps, and one row that tells what went.
+
+    ``missing`` is what goes where a vector or an element is missing: ``columns`` drops the positions that are missing
+    in some row and keeps every row, ``rows`` drops the rows, ``fill`` puts ``fill`` there. The report has n_rows,
+    n_rows_dropped, n_positions, n_positions_dropped and n_filled.
+    """
+    if missing not in ("columns", "rows", "fill"):
+        raise ValueError(f"unknown choice {missing}")
+    hygiene = durable(vector_hygiene(df, blocks))
+    size = F.max(F.col("dim") + 1)
+    widths = {b: 0 for b in blocks} | {r.block: r.n for r in hygiene.groupBy("block").agg(size.alias("n")).collect()}
+    whole = {b: [] for b in blocks}
+    for r in hygiene.where("n_missing = 0").select("block", "dim").orderBy("dim").collect():  # one row per position
+        whole[r.block].append(r.dim)
+
+    def cell(block: str, at: Column) -> Column:
+        """The element, null if it or its vector is missing."""
+        return F.nanvl(F.get(F.col(block).cast("array<double>"), at), F.lit(None).cast("double"))
+
+    def broken(block: str) -> Column:
+        return F.exists(F.array(*map(F.lit, gaps[block])).cast("array<int>"), lambda i: cell(block, i).isNull())
+
+    def kept(block: str) -> Column:
+        places = F.array(*map(F.lit, range(widths[block]) if missing == "fill" else whole[block])).cast("array<int>")
+        return F.transform(places, lambda i: F.coalesce(cell(block, i), F.lit(fill)))
+
+    gaps = {b: sorted(set(range(widths[b])) - set(whole[b])) for b in blocks}
+    # a block that no row has breaks every row
+    lost = reduce(Column.__or__, [broken(b) if widths[b] else F.lit(True) for b in blocks])
+    rows = df.where(~lost) if missing == "rows" else df.withColumns({b: kept(b) for b in blocks})
+    n_positions, n_whole = sum(widths.values()), sum(map(len, whole.values()))
+    if not n_positions or missing == "columns" and not n_whole:
+        raise ValueError(f"every position of {blocks} is missing in some row")
+    dropped = F.count_if(lost) if missing == "rows" else F.lit(0).cast("long")
+    n_filled = hygiene.agg(F.coalesce(F.sum("n_missing"), F.lit(0))).scalar() if missing == "fill" else F.lit(0)
+    report = df.agg(F.count(F.lit(1)).alias("n_rows"), dropped.alias("n_rows_dropped")).select(
+        "n_rows", "n_rows_dropped", F.lit(n_positions).cast("long").alias("n_positions"),
+        F.lit(n_positions - n_whole if missing == "columns" else 0).cast("long").alias("n_positions_dropped"),
+        n_filled.cast("long").alias("n_filled"))
+    return rows, durable(report)
+
+
 def fit_scaler(train: DataFrame, features: str = "features") -> DataFrame:
     """One row with the mean and population deviation of every feature; a constant feature gets scale 1.
 

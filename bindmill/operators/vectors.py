@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bindmill.functions.scalars import l2_norm
 
@@ -23,6 +23,24 @@ def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"))
 
 
+def vector_hygiene(df: DataFrame, blocks: list[str]) -> DataFrame:
+    """(block, dim, n_missing, variance) of every position of some vector columns, from one pass over the rows.
+
+    A position is missing in a row if the vector is null or too short, or if the element is null or NaN. The variance
+    is that of a population. A block without any vector has no positions.
+    """
+    def elements(block: str) -> Column:
+        values = F.transform(F.col(block).cast("array<double>"), lambda x, i: F.struct(
+            F.lit(block).alias("block"), i.alias("dim"), F.nanvl(x, F.lit(None).cast("double")).alias("x")))
+        return F.coalesce(values, F.array().cast("array<struct<block:string,dim:int,x:double>>"))
+
+    element = F.explode(F.concat(*map(elements, blocks)))
+    n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.select(element.alias("e")).groupBy("e.block", "e.dim").agg(
+        F.count("e.x").alias("n"), F.var_pop("e.x").alias("variance")).select(
+        "block", "dim", (n_rows - F.col("n")).alias("n_missing"), "variance")
+
+
 def near_constant_dimensions(df: DataFrame, vector: str, limit: float = NEAR_CONSTANT) -> DataFrame:
     return dimension_stats(df, vector).agg(F.count_if(F.col("std") < limit).alias("n_near_constant"))
 

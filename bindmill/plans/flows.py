@@ -101,16 +101,27 @@ def one_organism(features: DataFrame, organism: str = ORGANISM) -> DataFrame:
     return filters.same_value(features, "organism", "target_organism").filter(F.col("organism") == organism)
 
 
-def split_features(features: DataFrame, blocks: list[str], target: str = "p_activity") -> DataFrame:
+def split_features(features: DataFrame, blocks: list[str], target: str = "p_activity", missing: str = "columns",
+                   fill: float = 0.0) -> DataFrame:
     """Scaled feature vectors with target, identities and split, stored in the checkpoint folder."""
+    return split_features_report(features, blocks, target, missing, fill)[0]
+
+
+def split_features_report(features: DataFrame, blocks: list[str], target: str = "p_activity", missing: str = "columns",
+                          fill: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``split_features`` and the report of ``scaling.whole_blocks``: rows, positions and elements that went.
+
+    By default the feature positions that are missing in some row go and every row stays; ``missing`` may also be
+    ``rows`` or ``fill``.
+    """
     ids = ["molecule_chembl_id", "canonical_smiles", "sequence_1l", "pdb_id", "chain_id", "ligand_id"]
-    rows = features.na.drop(subset=blocks).withColumn("molecule", F.trim("canonical_smiles")).withColumn(
-        "sequence", F.trim("sequence_1l"))
+    kept, report = scaling.whole_blocks(features, blocks, missing, fill)
+    rows = kept.withColumn("molecule", F.trim("canonical_smiles")).withColumn("sequence", F.trim("sequence_1l"))
     rows = rows.withColumn("pair_key", composite_key("pdb_id", "chain_id", "sequence", "ligand_id"))
     vectors = durable(scaling.concat_features(
         rows.select(*ids, "molecule", "sequence", "pair_key", target, *blocks), blocks))
     split = splitting.six_way_split(vectors, "molecule", "sequence", key=["molecule_chembl_id", "sequence"])
-    return durable(scaling.scale_on_train(split))
+    return durable(scaling.scale_on_train(split)), report
 
 
 def train_and_evaluate(rows: DataFrame, target: str, candidates: list[dict], build: Callable,

@@ -30,6 +30,14 @@ def dimension_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(stats, "mean", "std", "variance").withColumn("dim", big("dim"))
 
 
+def vector_hygiene(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing rows and variance per position of two blocks, the second of which some rows lack."""
+    rows = _embeddings(spark, folder)
+    gappy = F.transform("embedding", lambda x, i: F.when((i != 3) | (F.col("vec_id") % 5 != 0), x.cast("double")))
+    rows = rows.select(gappy.alias("gappy"), F.when(F.col("vec_id") % 7 != 0, F.slice("embedding", 1, 4)).alias("absent"))
+    return _rounded(vectors.vector_hygiene(rows, ["gappy", "absent"]), "variance").withColumn("dim", big("dim"))
+
+
 def near_constant(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_constant_dimensions(_embeddings(spark, folder), "embedding", 0.124)
 
@@ -151,7 +159,7 @@ def pca_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dimension_stats, near_constant, top_variance, norm_stats, norm_by_label, mean_vectors, dimension_correlations,
+    dimension_stats, vector_hygiene, near_constant, top_variance, norm_stats, norm_by_label, mean_vectors, dimension_correlations,
     correlation_summary, vector_export, protein_cosines, feature_cosines, text_tanimoto, near_duplicate_vectors,
     near_duplicate_texts, pooled_tokens,
     per_distinct_features, pca_variance, components_needed,
@@ -176,6 +184,13 @@ FROM (SELECT round({score}, 6) AS s FROM {source} a JOIN {source} b ON a.k < b.k
 ORACLES = {
     "dimension_stats": _LONG + """
 SELECT dim, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(variance, 6) + 0.0 AS variance FROM s""",
+    "vector_hygiene": """
+WITH b AS (SELECT 'gappy' AS block, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           UNION ALL SELECT 'absent', vec_id, CASE WHEN vec_id % 7 <> 0 THEN embedding[1:4]::DOUBLE[] END FROM embeddings),
+x AS (SELECT block, vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM b),
+g AS (SELECT block, dim, CASE WHEN block <> 'gappy' OR dim <> 3 OR vec_id % 5 <> 0 THEN x END AS x FROM x)
+SELECT block, dim, (SELECT count(*) FROM embeddings) - count(x) AS n_missing, round(var_pop(x), 6) + 0.0 AS variance
+FROM g GROUP BY block, dim""",
     "near_constant": _LONG + " SELECT count(*) FILTER (std < 0.124::DOUBLE) AS n_near_constant FROM s",
     "top_variance": _LONG + " SELECT dim, round(variance, 6) + 0.0 AS variance FROM s ORDER BY s.variance DESC, dim LIMIT 20",
     "norm_stats": _NORMS + """

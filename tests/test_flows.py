@@ -97,3 +97,21 @@ def test_features_split_and_scores(linked):
     scores, trials = flows.train_and_evaluate(
         rows, "p_activity", models.draw_tree_params(1, ranges=ranges), models.boosted_trees)
     assert {"train", "test"} <= {r.split for r in scores.collect()} and trials.count() == 1
+
+
+def test_split_features_keeps_rows_without_a_block(spark):
+    rows = [(f"M{i}", f"smi{i}", "ACDE" * (1 + i % 6), f"{i:04d}", "A", "ATP", 6.0 + i / 50, [float(i), 1.0 + i % 3] if i % 3 else None,
+             [float(i % 5), None if i == 7 else float(i % 4), float("nan") if i == 8 else 2.0 * i]) for i in range(90)]
+    features = spark.createDataFrame(rows, "molecule_chembl_id string, canonical_smiles string, sequence_1l string, pdb_id string, "
+                                     "chain_id string, ligand_id string, p_activity double, l array<double>, p array<double>")
+    want = {"columns": (90, 1, (90, 0, 5, 4, 0)), "rows": (58, 5, (90, 32, 5, 0, 0)), "fill": (90, 5, (90, 0, 5, 0, 62))}
+    for missing, (n, width, told) in want.items():
+        split, report = flows.split_features_report(features, ["l", "p"], missing=missing)
+        assert tuple(report.first()) == told and split.count() == n
+        assert {r.n for r in split.select(F.size("features").alias("n")).collect()} == {width}
+        assert split.filter(F.exists("features", lambda x: x.isNull() | F.isnan(x))).count() == 0
+    assert flows.split_features(features, ["l", "p"]).count() == 90
+    with pytest.raises(ValueError):
+        flows.split_features(features, ["l"])
+    with pytest.raises(ValueError):
+        flows.split_features(features, ["l", "p"], missing="other")
