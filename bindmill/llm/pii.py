@@ -4,6 +4,7 @@ Values are found by one pattern, validated (check digit, calendar, octets, numbe
 Feistel network inside their own format. The network adds a keyed hash of one half to the other half, letter by
 letter or as a remainder, so it is a bijection of the format: equal values get equal pseudonyms in every document,
 different values get different ones, and the holder of the key can go back.
+nn/nn/yyyy is read as day and month, and as month and day where that is no date.
 
 ===========  =============================================  =======================================================
 kind         valid if                                       what is permuted
@@ -11,7 +12,7 @@ kind         valid if                                       what is permuted
 card         13-19 digits that pass the Luhn check          all digits but the last, which is computed anew
 phone        an optional country code and ten digits        the ten digits
 ssn          three groups (3-2-4), none of them all zero    all digits
-date         a day from 1900 to 2099                        the day
+date         a day from 1900 to 2099                        the day; month-first ones keep a day over 12
 ip           four numbers of at most 255, no leading zero   the 32 bits
 email        a name, @, and a domain with a dot             letters and digits of the name
 secret       hexadecimal digits behind a name such as token the digits; letter case is kept
@@ -30,9 +31,11 @@ KINDS = ("card", "phone", "ssn", "date", "ip", "email", "secret")
 
 #: The formats that are searched for, longest first.
 PATTERNS = {
-    "secret": r'(?<=\b(?i:token|secret|password|api_key|key) = ")(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?=")',
+    # the look-ahead comes first because it fails at once nearly everywhere
+    "secret": r"""(?=[0-9a-fA-F]{16})(?<=(?:\b|_)(?i:token|secret|password|api_key|key)["']?[ \t]{0,8}[:=][ \t]{0,8}["']?)"""
+              r"(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![\w+/=-])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "long": r"(?<![\d.,])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\d]|[.,]\d)",
+    "long": r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
@@ -42,6 +45,8 @@ ANY = "|".join(PATTERNS[k] for k in ("secret", "email", "long", "date", "ip", "p
 DIGITS, HEX, NAME = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297, the two digits of a day's number.
 DAYS, DAY_HIGH, DAY_LOW = 73_049, 17, 4297
+#: Steps of a month-first date; three days in five are over 12, so more than 64 have a chance below 1e-20 for any key.
+WALK = 64
 
 
 def _sql(text: str) -> str:
@@ -99,7 +104,13 @@ def _day(text: str) -> tuple[str, str]:
     forms = [("____-__-__", "yyyy-MM-dd"), ("__/__/____", "dd/MM/yyyy"), ("__.__.____", "dd.MM.yyyy")]
     parsed = " ".join(f"when {text} like '{like}' then try_to_date({text}, '{form}')" for like, form in forms)
     form = " ".join(f"when {text} like '{like}' then date_format(d, '{form}')" for like, form in forms)
-    return f"case {parsed} end", f"case {form} end"
+    return (f"coalesce(case {parsed} end, try_to_date({text}, 'MM/dd/yyyy'))",
+            f"case when {_month_first(text)} then date_format(d, 'MM/dd/yyyy') {form} end")
+
+
+def _month_first(text: str) -> str:
+    """SQL that is true for nn/nn/yyyy where only the second number can be the day."""
+    return f"({text} like '__/__/____' and try_to_date({text}, 'dd/MM/yyyy') is null)"
 
 
 def _kind(m: str) -> str:
@@ -110,7 +121,7 @@ def _kind(m: str) -> str:
     return f"""case when {m} like '%@%' then 'email'
         when {m} rlike '^[0-9a-fA-F]{{16,64}}$' and ({m} rlike '[a-fA-F]' or length({m}) > 19) then 'secret'
         when {m} rlike '^[0-9]{{13,19}}$' or {m} rlike '^[0-9]{{4}}([ -])[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}$'
-            then if({valid_luhn}, 'card', null)
+            or {m} rlike '^[0-9]{{4}}([ -])[0-9]{{6}}[ -][0-9]{{5}}$' then if({valid_luhn}, 'card', null)
         when {m} rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}([/.])[0-9]{{2}}[/.][0-9]{{4}})$'
             then if(year({day}) between 1900 and 2099, 'date', null)
         when {m} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$'
@@ -129,7 +140,13 @@ def _pseudonym(m: str, kind: str, key: str) -> str:
     phone = f"concat(left({digits}, length({digits}) - 10), {_letters(f'right({digits}, 10)', DIGITS, 'phone', key)})"
     ssn = _letters(digits, DIGITS, "ssn", key)
     day, form = _day(m)
-    moved = _number(f"datediff({day}, date'1900-01-01')", DAY_HIGH, DAY_LOW, "date", key)
+    number = f"datediff({day}, date'1900-01-01')"
+    moved = _number(number, DAY_HIGH, DAY_LOW, "date", key)
+    # month-first dates stay such: the permutation is repeated until the day is over 12 again
+    outside = "(w = 1 or day(date_add(date'1900-01-01', cast(v as int))) <= 12)"
+    walked = (f"aggregate(sequence(1, {WALK}), cast({number} as bigint), (v, w) -> "
+              f"if({outside}, {_number('v', DAY_HIGH, DAY_LOW, 'date', key)}, v))")
+    moved = f"if({_month_first(m)}, {walked}, {moved})"
     date = f"transform(array(date_add(date'1900-01-01', cast({moved} as int))), d -> {form})[0]"
     bits = f"aggregate(split({m}, '[.]'), 0L, (s, x) -> s * 256L + cast(x as bigint))"
     ip = (f"transform(array({_number(bits, 65536, 65536, 'ip', key)}), v -> concat_ws('.', v div 16777216, "

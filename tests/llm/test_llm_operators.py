@@ -137,6 +137,29 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', rows[7].text) and rows[7].text != texts[7]
 
 
+def test_pseudonyms_of_common_forms(spark):
+    """Cards between commas and in groups of 4-6-5, month-first dates, named secrets in other notations."""
+    digest = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    texts = ["id,4539578763621486,2024", "amex 3782 822463 10005, 3782-822463-10005", "not 3782 822463 10006", "0.4539578763621486 4539578763621486.5",
+             "on 12/25/1999 or 25/12/1999, not 13/32/1999 or 02/30/2020", f'{{"token": "{digest}"}}', f"secret: '{digest.upper()}'",
+             f"API_KEY={digest}", f"client_secret =\t{digest};", f"monkey={digest} broken key={digest}+ key={digest}-1"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    assert [f.kind for f in rows[0].found] == ["card"] and luhn(rows[0].found[0].pseudonym)
+    assert rows[0].text == f"id,{rows[0].found[0].pseudonym},2024" != texts[0]
+    first, second = (f.pseudonym for f in rows[1].found)
+    assert re.fullmatch(r"\d{4} \d{6} \d{5}", first) and first.replace(" ", "-") == second and luhn(first.replace(" ", ""))
+    assert first != "3782 822463 10005" and [rows[k].text for k in (2, 3, 9)] == [texts[k] for k in (2, 3, 9)]
+    assert [f.value for f in rows[4].found] == ["12/25/1999", "25/12/1999"]
+    assert re.match(r"on (0\d|1[0-2])/(1[3-9]|[23]\d)/(19|20)\d\d or ", rows[4].text) and "12/25/1999" not in rows[4].text
+    for k in (5, 6, 7, 8):
+        assert [(f.kind, f.value.lower()) for f in rows[k].found] == [("secret", digest)]
+        assert rows[k].text == texts[k].replace(rows[k].found[0].value, rows[k].found[0].pseudonym) != texts[k]
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "MM/dd/yyyy").alias("text"))
+    got = {r.text: r.found[0].pseudonym for r in pii.pseudonymise(days.withColumn("was", F.col("text"))).select(F.col("was").alias("text"), "found").collect()}
+    assert len(got) == len(set(got.values())) == 3000
+
+
 def test_pseudonyms_are_one_to_one(spark):
     values = [f"10.0.{k // 256}.{k % 256}" for k in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "text string")
