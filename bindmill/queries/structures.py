@@ -154,8 +154,8 @@ def unmapped_entries(spark: SparkSession, folder: str) -> DataFrame:
     return records.entries_without_mapping(lines, records.parse_dbref(lines))
 
 
-def admitted_cif(spark: SparkSession, folder: str) -> DataFrame:
-    """Loop rows with a header per file; files with a two-letter chain name are rejected."""
+def _cif_lines(spark: SparkSession, folder: str, headless: Column | None = None) -> DataFrame:
+    """Loop rows with a header per file, but for the files for which ``headless`` holds."""
     lines = table(spark, folder, "lineitem")
     names = ["group_PDB", "id", "label_comp_id", "label_asym_id", "auth_seq_id", "auth_comp_id", "auth_asym_id"]
     chain = F.when(F.col("l_extendedprice") > CIF_LONG, "AA").otherwise(_pick(["A", "B", "C"], "l_linenumber"))
@@ -163,14 +163,28 @@ def admitted_cif(spark: SparkSession, folder: str) -> DataFrame:
                       F.lit("XX"), F.col("l_orderkey").cast("string"), _pick(RESIDUES, "l_partkey"), chain)
     rows = _files(lines.withColumn("value", row), "cif", "l_suppkey")
     head = F.posexplode(F.array(*[F.lit(f"_atom_site.{n}") for n in names]))
-    heads = rows.select("file_name", "entry_id").distinct().select("file_name", "entry_id", head.alias("at", "value"))
+    files = rows.select("file_name", "entry_id").distinct()
+    heads = (files if headless is None else files.where(~headless)).select("file_name", "entry_id", head.alias("at", "value"))
     heads = heads.select("file_name", "entry_id", (F.col("at") - 100).cast("long").alias("line_no"), "value")
-    atoms = durable(records.parse_cif_atoms(rows.unionByName(heads)))
+    return rows.unionByName(heads)
+
+
+def admitted_cif(spark: SparkSession, folder: str) -> DataFrame:
+    """Loop rows with a header per file; files with a two-letter chain name are rejected."""
+    atoms = durable(records.parse_cif_atoms(_cif_lines(spark, folder)))
     return records.admit_cif(atoms).groupBy("entry_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("chain_id").alias("last_chain"), F.min("residue").alias("first_residue"),
         big(F.max(F.col("position").cast("long"))).alias("last_position"))
 
 
+def cif_reject_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that admission leaves out: files of one supplier in four have no loop, some are empty."""
+    lines = _cif_lines(spark, folder, F.col("entry_id").cast("long") % 4 == 1)
+    empty = F.concat(F.lit("empty"), F.col("s_suppkey").cast("string"), F.lit(".cif")).alias("file_name")
+    files = lines.select("file_name").union(table(spark, folder, "supplier").where("s_suppkey % 5 = 0").select(empty))
+    return records.cif_reject_reasons(files, lines, durable(records.parse_cif_atoms(lines)))
+
+
 def entry_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Orders written as nested JSON entries, read back with the declared schema and flattened."""
     orders = table(spark, folder, "orders")
@@ -240,7 +254,7 @@ def residue_ligand_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     cleaned_lines, cleaned_lines_strict, numbered_files, parsed_atoms, standard_residues, ambiguous_chains,
     assembled_chains, ligand_sets, chain_table, fasta_records, chain_lines, pruned_lines, references,
-    references_strict, unmapped_entries, admitted_cif, entry_metadata, component_choice, event_properties,
+    references_strict, unmapped_entries, admitted_cif, cif_reject_reasons, entry_metadata, component_choice, event_properties,
     residue_ligand_rules)}
 
 
@@ -328,6 +342,11 @@ SELECT l_orderkey::VARCHAR AS pdb_id FROM lineitem GROUP BY l_orderkey HAVING co
 SELECT l_suppkey::VARCHAR AS entry_id, count(*) AS n, max({_list(["A", "B", "C"], "l_linenumber")}) AS last_chain,
   min({_list(RESIDUES, "l_partkey")}) AS first_residue, max(l_orderkey) AS last_position
 FROM lineitem GROUP BY l_suppkey HAVING max(l_extendedprice) <= {CIF_LONG}""",
+    "cif_reject_reasons": f"""
+SELECT l_suppkey || '.cif' AS file_name,
+  CASE WHEN l_suppkey % 4 = 1 THEN 'no _atom_site loop' ELSE 'chain name of more than one letter' END AS reason
+FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 4 = 1 OR max(l_extendedprice) > {CIF_LONG}
+UNION ALL SELECT 'empty' || s_suppkey || '.cif', 'no lines' FROM supplier WHERE s_suppkey % 5 = 0""",
     "entry_metadata": """
 SELECT o_orderkey::VARCHAR AS pdb_id, 'X-RAY' AS experimental_method,
   CASE WHEN o_totalprice >= 300000 THEN 'Unknown' WHEN o_totalprice > 250000 THEN 'Homo sapiens'

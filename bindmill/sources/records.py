@@ -123,6 +123,23 @@ def cif_rejects(atoms: DataFrame) -> DataFrame:
     return longest.filter(F.col("longest") > 1).select("file_name")
 
 
+def cif_reject_reasons(files: DataFrame, lines: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(file_name, reason) of all listed files that ``admit_cif`` leaves out, one row per file.
+
+    ``files`` lists every file, also an empty one, of which a scan of lines has nothing. ``atoms`` are the parsed rows of
+    ``lines``.
+    """
+    admitted = admit_cif(atoms).select("file_name").distinct()
+    value = F.trim(F.col("value"))
+    seen = lines.groupBy("file_name").agg(F.bool_or(value.startswith("_atom_site.")).alias("loop"))
+    rejected = files.select("file_name").distinct().join(admitted, "file_name", "left_anti")
+    named = cif_rejects(atoms).withColumn("long_name", F.lit(True))
+    reason = F.when(F.col("long_name"), "chain name of more than one letter").when(
+        F.col("loop").isNull(), "no lines").when(~F.col("loop"), "no _atom_site loop").otherwise("no coordinate rows")
+    return rejected.join(seen, "file_name", "left").join(named, "file_name", "left").select(
+        "file_name", reason.alias("reason"))
+
+
 def admit_cif(atoms: DataFrame) -> DataFrame:
     return atoms.join(cif_rejects(atoms), "file_name", "left_anti")
 

@@ -107,6 +107,21 @@ def test_cif_admission(spark):
         ("ATOM", "MSE", "A", "5"), ("HETATM", "ATP", "B", "6")]
 
 
+def test_cif_reject_reasons_name_every_file_that_is_not_admitted(spark):
+    head = ["loop_", "_atom_site.group_PDB", "_atom_site.label_comp_id", "_atom_site.auth_asym_id"]
+    files = {"good.cif": [*head, "ATOM MSE A"], "long.cif": [*head, "ATOM ALA AA"], "bare.cif": ["data_x", "ATOM ALA A"],
+             "header.cif": head, "empty.cif": []}
+    lines = frame(spark, files["good.cif"], "good.cif")
+    for name in ("long.cif", "bare.cif", "header.cif"):
+        lines = lines.unionByName(frame(spark, files[name], name))
+    listed = spark.createDataFrame([(name,) for name in files], "file_name string")
+    atoms = records.parse_cif_atoms(lines)
+    assert {r.file_name: r.reason for r in records.cif_reject_reasons(listed, lines, atoms).collect()} == {
+        "long.cif": "chain name of more than one letter", "bare.cif": "no _atom_site loop", "header.cif": "no coordinate rows",
+        "empty.cif": "no lines"}
+    assert {r.file_name for r in records.admit_cif(atoms).collect()} == {"good.cif"}
+
+
 def test_record_files_are_read_in_order(spark, tmp_path):
     lines = [atom("ATOM", "ALA", "A", i % 9000, serial=i % 90000) for i in range(3000)]
     (tmp_path / "1abc.ent").write_text("\n".join(lines) + "\n")
