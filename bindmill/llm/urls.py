@@ -16,7 +16,6 @@ from bindmill.session import durable
 
 MIN_SUPPORT = 0.005  # of the labelled urls
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 3  # tokens in a rule: longer ones only repeat what shorter ones say
 
 #: Fixed values: (rule, verdict); a rule is a host, fitting its subdomains too, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -60,8 +59,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(every)), F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, verdict) -> antecedent, verdict, confidence, support, index_token.
 
     Rules of support or confidence below the limits are pruned, and so are rules with a part that has the same
@@ -73,8 +71,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if items.isEmpty():
         return spark.createDataFrame([], columns)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = durable(model.freqItemsets.where(F.size("items") <= max_tokens + 1).withColumn(
-        "items", F.array_sort("items")))
+    sets = durable(model.freqItemsets.withColumn("items", F.array_sort("items")))
     is_verdict = lambda x: x.startswith("=")
     with_verdict = sets.where(F.exists("items", is_verdict)).select(
         F.filter("items", lambda x: ~is_verdict(x)).alias("antecedent"),
@@ -84,7 +81,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     rules = durable(with_verdict.where(F.size("antecedent") > 0).join(alone, "antecedent").select(
         "antecedent", "verdict", (F.col("both") / F.col("all")).alias("confidence"),
         (F.col("both") / F.lit(n)).alias("support")).where(F.col("confidence") >= min_confidence))
-    # a rule's parts with one token less: at most max_tokens each
+    # a rule's parts with one token less: one for each token
     parts = rules.where(F.size("antecedent") > 1).select(
         "verdict", "confidence", F.col("antecedent").alias("whole"), F.explode("antecedent").alias("left_out")).select(
         "verdict", "whole", F.col("confidence").alias("own"),

@@ -201,6 +201,15 @@ def test_mined_rules_equal_counting(spark, small):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_rules_of_any_length_are_mined(spark):
+    every = ["a", "b", "c", "d", "e"]
+    rows = [(every, "block")] * 10 + [([t for t in every if t != left_out], "allow") for left_out in every for _ in range(10)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.85)
+    assert [(r.antecedent, r.verdict, r.confidence) for r in mined.collect()] == [(every, "block", 1.0)]
+    sets = spark.createDataFrame([(every + ["f"],), (every[:4],)], "tokens array<string>")
+    assert [(r.tokens, r.mined) for r in urls.match_rules(sets, mined).collect()] == [(every + ["f"], "block")]
+
+
 # ---- distribution rules
 
 def test_base_counts_equal_brute_force(spark, small):
