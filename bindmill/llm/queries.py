@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "pii", "urls", "quality_rules", "decontamination", "token_counts", "quality_model", "near_duplicates", "repeats")
+MODULES = ("sharding", "mixing", "pii", "urls", "quality_rules", "decontamination", "token_counts", "quality_model",
+           "near_duplicates", "repeats", "whitening", "clustering")
 
 
 def _modules() -> list:
