@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from bindmill.llm.common import GAP, SPACES, read, text_of
+from bindmill.llm.common import GAP, WORD, read, text_of
 from bindmill.session import durable
 
 MIN_WORDS = 50
@@ -29,45 +29,53 @@ def _length(column: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text_of(text), GAP), lambda w: w != "")
+    return F.array_remove(F.split(text_of(text), GAP), "")
 
 
-def _repeated_words(words: str) -> str:
-    """SQL for the number of words inside three-word windows that the array ``words`` holds twice or more.
+def window_hashes(words: str) -> Column:
+    """Hashes of all three-word windows of the array ``words``."""
+    return F.expr(f"if(size({words}) < 3, cast(array() as array<bigint>), transform(sequence(0, size({words}) - 3), "
+                  f"i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])))")
 
-    The windows' hashes are sorted with their places, so equal ones stand together; the places of repeated ones, in
-    order, cover up to three words each, fewer where the next one starts earlier.
+
+def repeated_words(hashes: str) -> Column:
+    """Number of words inside three-word windows that are there twice or more.
+
+    Most texts repeat no window, which the number of distinct hashes tells. Else the hashes are sorted with their
+    places, so equal ones stand together; the places of repeated ones, in order, cover up to three words each, fewer
+    where the next one starts earlier.
     """
-    windows = (f"sort_array(transform(sequence(0, size({words}) - 3), i -> named_struct("
-               f"'h', xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), 'i', i)))")
-    places = ("array_sort(transform(filter(transform(s, (x, k) -> named_struct('i', x.i, 'twice', "
-              "(k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].h = x.h))), "
-              "x -> x.twice), x -> x.i))")
-    covered = ("aggregate(zip_with(r, slice(r, 2, size(r)), (a, b) -> least(3, coalesce(b - a, 3))), 0, (s, x) -> s + x)")
+    pairs = f"sort_array(transform({hashes}, (h, i) -> named_struct('h', h, 'i', i)))"
+    twice = "(k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].h = x.h)"
+    places = f"sort_array(array_compact(transform(s, (x, k) -> if({twice}, x.i, null))))"
+    covered = "aggregate(zip_with(r, slice(r, 2, size(r)), (a, b) -> least(3, coalesce(b - a, 3))), 0, (s, x) -> s + x)"
     inner = f"transform(array({places}), r -> {covered})[0]"
-    return f"if(size({words}) < 3, 0L, cast(transform(array({windows}), s -> {inner})[0] as bigint))"
+    return F.expr(f"if(size(array_distinct({hashes})) = size({hashes}), 0L, "
+                  f"cast(transform(array({pairs}), s -> {inner})[0] as bigint))")
+
+
+def marks_of(text: Column) -> Column:
+    """The characters of words that are no letters, in order."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"[^\p{L}\s]+"), F.lit(0)), "")
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """Counts that need the text alone."""
-    body = text_of(text)
-    return {"word_chars": _length(F.translate(body, SPACES, "")),
-            "n_symbols": _length(body) - _length(F.translate(body, SYMBOLS, ""))}
+def n_symbols(marks: Column) -> Column:
+    return F.regexp_count(marks, F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
 def _duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text_of(text), "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    return F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0]
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    repeated = F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0]
+    return F.when(F.instr(text, "\n") > 0, repeated).otherwise(F.lit(0).cast("long"))
 
 
-def _class_counts(text: Column, word_chars: Column, n_symbols: Column) -> Column:
+def _class_counts(text: Column, marks: Column, word_chars: Column) -> Column:
     """Characters of words by class."""
-    upper = _length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    rest = F.regexp_replace(text, r"[\p{L}\s]+", "")
-    digits = _length(F.regexp_replace(rest, r"[^\p{Nd}]+", ""))
-    others = _length(rest)
-    return F.array(upper, F.greatest(word_chars - others - upper, F.lit(0)), digits, n_symbols,
-                   F.greatest(others - digits - n_symbols, F.lit(0)))
+    upper = F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long")
+    others, symbols = _length(marks), n_symbols(marks)
+    digits = F.regexp_count(marks, F.lit(r"\p{Nd}")).cast("long")
+    return F.array(upper, F.greatest(word_chars - others - upper, F.lit(0)), digits, symbols,
+                   F.greatest(others - digits - symbols, F.lit(0)))
 
 
 def _shares(counts: Column) -> Column:
@@ -91,27 +99,28 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     Counts cover all documents; words are counted in the task that reads them before they are exchanged.
     """
     body = docs.select("lang", text_of(F.col("text")).alias("text"))
-    counted = body.select("lang", "text", *[c.alias(n) for n, c in base_counts(F.col("text")).items()])
-    classes = counted.select("lang", _class_counts(F.col("text"), F.col("word_chars"), F.col("n_symbols")).alias("c"))
-    by_class = classes.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]).cast("double") for i in range(len(CLASSES))])
-                                           .alias("class_counts"))
-    words = body.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
-    short = F.when(F.length("word") <= COMMON_LENGTH, F.col("word"))
-    counts = durable(words.groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")))
+    parted = body.select("lang", "text", words_of(F.col("text")).alias("words"), marks_of(F.col("text")).alias("marks"))
+    classes = parted.select("lang", F.size("words").alias("n_words"), _class_counts(
+        F.col("text"), F.col("marks"), _length(F.array_join("words", ""))).alias("c"))
+    by_class = durable(classes.groupBy("lang").agg(
+        F.array(*[F.sum(F.col("c")[i]).cast("double") for i in range(len(CLASSES))]).alias("class_counts"),
+        F.sum("n_words").alias("total")))
+    # outer, as Spark would part a text a second time to see that it has words
+    words = body.select("lang", F.explode_outer(words_of(F.col("text"))).alias("word"))
+    short = words.where(F.length("word") <= COMMON_LENGTH).select("lang", F.lower("word").alias("word"))  # never shorter
+    counts = durable(short.where(F.length("word") <= COMMON_LENGTH).groupBy("lang", "word").agg(F.count("*").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.where(F.col("word").isNotNull()).withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= common)
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common)
     listed = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    both = by_class.withColumnRenamed("lang", "ref_lang")
-    for name, other in (("a", listed), ("b", totals)):
-        keyed = other.withColumnRenamed("lang", f"lang_{name}")
-        both = both.join(keyed, F.col("ref_lang").eqNullSafe(F.col(f"lang_{name}")), "left").drop(f"lang_{name}")
+    keyed = listed.withColumnRenamed("lang", "top_lang")
+    both = by_class.withColumnRenamed("lang", "ref_lang").join(
+        keyed, F.col("ref_lang").eqNullSafe(F.col("top_lang")), "left").drop("top_lang")
     none = F.array().cast("array<string>")
     found = F.coalesce(F.transform("top", lambda x: x["n"].cast("double")), F.array().cast("array<double>"))
     sums = F.aggregate(found, F.lit(0.0), lambda a, b: a + b)
     word_counts = F.concat(found, F.array(F.coalesce(F.col("total").cast("double"), F.lit(0.0)) - sums))
-    return durable(both.select("ref_lang", F.coalesce(F.transform("top", lambda x: x["word"]), none).alias("common"),
+    listed_words = F.coalesce(F.transform("top", lambda x: x["word"]), none)
+    return durable(both.select("ref_lang", listed_words.alias("common"),
                                _shares(F.col("class_counts")).alias("class_shares"),
                                _shares(word_counts).alias("word_shares")))
 
@@ -121,7 +130,8 @@ def judge_documents(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_
     """(text, lang, ...) -> all columns with the base counts, class_distance, word_distance, base_failed and kept.
 
     Null and empty texts have no words and fail the base rules. Null languages share a reference. Documents under
-    ``MIN_WORDS`` words get no distances. New columns replace those of the same names.
+    ``MIN_WORDS`` words get no distances. Texts of any length are counted whole, inside their row. New columns replace
+    those of the same names.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance",
            "base_failed", "kept")
@@ -129,24 +139,27 @@ def judge_documents(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"),
                          F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     refs = references(packed.select("lang", "text"), common)
-    text = F.col("text")
+    reference = ("common", "class_shares", "word_shares")
     counted = packed.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").select(
-        "row", "common", "class_shares", "word_shares", text_of(text).alias("text"), words_of(text).alias("words"))
-    counts = base_counts(F.col("text"))
-    code = F.transform("words", lambda w: F.substring(
+        "row", *reference, text_of(F.col("text")).alias("text"))
+    parted = counted.select("row", *reference, "text", words_of(F.col("text")).alias("words"),
+                            marks_of(F.col("text")).alias("marks"))
+    code = F.transform(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), lambda w: F.substring(
         F.lit("-" + CODES[:common]), (F.coalesce(F.array_position("common", F.lower(w)), F.lit(0)) + 1).cast("int"), 1))
-    measured = counted.select(
-        "row", "common", "class_shares", "word_shares", "text", F.size("words").cast("long").alias("n_words"),
-        *[c.alias(n) for n, c in counts.items()], _duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        F.expr(_repeated_words("words")).alias("n_repeat_words"),
+    measured = parted.select(
+        "row", *reference, "text", "marks", F.size("words").cast("long").alias("n_words"),
+        _length(F.array_join("words", "")).alias("word_chars"), n_symbols(F.col("marks")).alias("n_symbols"),
+        _duplicate_lines(F.col("text")).alias("n_dup_lines"), window_hashes("words").alias("hashes"),
         F.replace(F.array_join(code, ""), F.lit("-"), F.lit("")).alias("codes"))
-    of_word = [(_length(F.col("codes")) - _length(F.translate("codes", letter, ""))).cast("double")
+    of_word = [(_length(F.col("codes")) - _length(F.replace("codes", F.lit(letter), F.lit("")))).cast("double")
                for letter in CODES[:common]]
     present = F.slice(F.array(*of_word), 1, F.size("common"))
-    with_counts = measured.withColumn("word_counts", F.concat(
-        present, F.array((F.col("n_words") - _length(F.col("codes"))).cast("double"))))
-    with_counts = with_counts.withColumn("class_counts", F.transform(_class_counts(
-        F.col("text"), F.col("word_chars"), F.col("n_symbols")), lambda x: x.cast("double")))
+    with_counts = measured.select(
+        "row", *reference, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        repeated_words("hashes").alias("n_repeat_words"),
+        F.concat(present, F.array((F.col("n_words") - _length(F.col("codes"))).cast("double"))).alias("word_counts"),
+        F.transform(_class_counts(F.col("text"), F.col("marks"), F.col("word_chars")),
+                    lambda x: x.cast("double")).alias("class_counts"))
     long_enough = F.col("n_words") >= MIN_WORDS
     class_distance = F.when(long_enough, distance(_shares(F.col("class_counts")), F.col("class_shares")))
     word_distance = F.when(long_enough, distance(_shares(F.col("word_counts")), F.col("word_shares")))
