@@ -3,7 +3,9 @@
 Values are found by one pattern, validated (check digit, calendar, octets, number plan), and permuted by a keyed
 Feistel network inside their own format. The network adds a keyed hash of one half to the other half, letter by
 letter or as a remainder, so it is a bijection of the format: equal values get equal pseudonyms in every document,
-different values get different ones, and the holder of the key can go back.
+different values get different ones, and the holder of the key can go back. An e-mail name counts as the same in any
+letter case and its pseudonym is in lower case, so there the way back gives lower case too. Where a format holds values
+that are not valid, the permutation is repeated until it gives a valid one, which is a bijection of the valid ones.
 nn/nn/yyyy is read as day and month, and as month and day where that is no date.
 
 ===========  =============================================  =======================================================
@@ -14,7 +16,8 @@ phone        an optional country code and ten digits        the ten digits
 ssn          three groups (3-2-4), none of them all zero    all digits
 date         a day from 1900 to 2099                        the day; month-first ones keep a day over 12
 ip           four numbers of at most 255, no leading zero   the 32 bits
-email        a name, @, and a domain with a dot             letters and digits of the name
+email        a name of at most 64 characters, @, and a      letters and digits of the name
+             domain of 2 to 127 parts
 secret       hexadecimal digits behind a name such as token the digits; letter case is kept
 ===========  =============================================  =======================================================
 """
@@ -34,7 +37,8 @@ PATTERNS = {
     # the look-ahead comes first because it fails at once nearly everywhere
     "secret": r"""(?=[0-9a-fA-F]{16})(?<=(?:\b|_)(?i:token|secret|password|api_key|key)["']?[ \t]{0,8}[:=][ \t]{0,8}["']?)"""
               r"(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![\w+/=-])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # repeated groups are bounded, as every repetition takes the engine a level deeper
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,126}",
     "long": r"(?<![\d.])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -45,8 +49,10 @@ ANY = "|".join(PATTERNS[k] for k in ("secret", "email", "long", "date", "ip", "p
 DIGITS, HEX, NAME = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297, the two digits of a day's number.
 DAYS, DAY_HIGH, DAY_LOW = 73_049, 17, 4297
-#: Steps of a month-first date; three days in five are over 12, so more than 64 have a chance below 1e-20 for any key.
+#: Steps until a permuted value is valid; of month-first dates three days in five are (over 12), of other kinds more, so
+#: more than 64 steps have a chance below 1e-20 for any key.
 WALK = 64
+SSN_ZERO = "^000|^...00|0000$"  # of the nine digits
 
 
 def _sql(text: str) -> str:
@@ -138,7 +144,8 @@ def _pseudonym(m: str, kind: str, key: str) -> str:
     card = (f"transform(array({digits}), x -> transform(array({payload}), y -> "
             f"concat(y, cast({_luhn('y')} as string)))[0])[0]")
     phone = f"concat(left({digits}, length({digits}) - 10), {_letters(f'right({digits}, 10)', DIGITS, 'phone', key)})"
-    ssn = _letters(digits, DIGITS, "ssn", key)
+    ssn = (f"aggregate(sequence(1, {WALK}), {digits}, (v, w) -> "
+           f"if(w = 1 or v rlike '{SSN_ZERO}', {_letters('v', DIGITS, 'ssn', key)}, v))")
     day, form = _day(m)
     number = f"datediff({day}, date'1900-01-01')"
     moved = _number(number, DAY_HIGH, DAY_LOW, "date", key)
@@ -167,7 +174,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """``docs`` with private values in ``text`` replaced, and ``found``: array<struct(value, kind, pseudonym)>.
 
     Values that are not valid stay as they are and are not listed. Null texts stay null with an empty list. Rows are
-    judged one by one, without an exchange. ``found`` replaces a column of that name.
+    judged one by one, without an exchange, and texts of any length whole: the search is linear in the text.
+    ``found`` replaces a column of that name.
     """
     body = f"`{text}`"
     matched = docs.drop("found").withColumn("found", F.expr(
