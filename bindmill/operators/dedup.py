@@ -6,8 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bindmill.operators import sampling
 from bindmill.operators.grouping import first_per_key
 
+ORDERED_ROWS = 10_000  # rows of a sample that tasks and the driver may hold
+
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).distinct()
@@ -77,6 +80,14 @@ def repeated_values(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).agg(F.count_if(F.col("n") > 1).alias("n_repeated"))
 
 
-def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Seeded sample of exactly ``n`` rows (all rows if fewer), by hash of a unique key."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42, ordered: int = ORDERED_ROWS) -> DataFrame:
+    """Seeded sample of exactly ``n`` rows (all rows if fewer), by hash of a unique key.
+
+    Up to ``ordered`` rows are the first ones of an ordering, of which every task keeps ``n``. For more, the hash of the
+    last row is found from counts per prefix, so neither the rows nor the sample go through one task.
+    """
+    if n <= ordered:
+        return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    cut = sampling.rank_tokens(keys, [key], seed, lambda total: {"cut": min(n, total)})["cut"]
+    return df.filter(sampling.up_to([key], seed, cut))

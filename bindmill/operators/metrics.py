@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindmill.operators.grouping import running_totals
+from bindmill.session import durable
 
 ACTIVITY_CUT = 6.5
 DECISION_CUT = 0.5
@@ -27,29 +28,43 @@ def confusion(df: DataFrame, split: str, label: str, prediction: str) -> DataFra
 
 def threshold_metrics(df: DataFrame, split: str, label: str, prediction: str) -> DataFrame:
     """Confusion counts, accuracy, recall, precision, F1 and MCC; 0 where a denominator is 0."""
+    return _with_metrics(confusion(df, split, label, prediction))
+
+
+def _with_metrics(counts: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     product = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
-    return confusion(df, split, label, prediction).withColumns({
+    return counts.withColumns({
         "accuracy": _ratio(tp + tn, tp + fp + tn + fn), "recall": _ratio(tp, tp + fn),
         "precision": _ratio(tp, tp + fp), "f1": _ratio(2 * tp, 2 * tp + fp + fn),
         "mcc": _ratio(tp * tn - fp * fn, F.sqrt(product))})
 
 
-def roc_auc(df: DataFrame, split: str, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve per split; ties count half, one class only gives NULL."""
-    per_score = df.filter(F.col(score).isNotNull()).groupBy(split, F.col(score).alias("_score")).agg(
+def _per_score(df: DataFrame, split: str, label: str, score: str) -> DataFrame:
+    return df.groupBy(split, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    ranked = running_totals(per_score, [split], "_score", ["pos", "neg"])
+
+
+def _area(per_score: DataFrame, split: str) -> DataFrame:
+    ranked = running_totals(per_score.filter("_score is not null"), [split], "_score", ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.groupBy(split).agg(F.when(pairs > 0, F.try_divide(wins, pairs)).alias("auc"))
 
 
+def roc_auc(df: DataFrame, split: str, label: str, score: str) -> DataFrame:
+    """Area under the ROC curve per split; ties count half, one class only gives NULL."""
+    return _area(_per_score(df, split, label, score), split)
+
+
 def evaluate(df: DataFrame, split: str, label: str, score: str, threshold: float = DECISION_CUT) -> DataFrame:
-    """All metrics of all splits."""
-    scored = predict(df, score, "_predicted", threshold)
-    return threshold_metrics(scored, split, label, "_predicted").join(
-        roc_auc(df, split, label, score), split, "left")
+    """All metrics of all splits; ``df`` is computed once, as a stored table of counts per score."""
+    counted = durable(_per_score(df, split, label, score))
+    said = F.col("_score") >= threshold
+    counts = counted.groupBy(split).agg(*[
+        F.coalesce(F.sum(F.when(asked, F.col(kind))), F.lit(0)).alias(name)
+        for name, asked, kind in (("tp", said, "pos"), ("fp", said, "neg"), ("tn", ~said, "neg"), ("fn", ~said, "pos"))])
+    return _with_metrics(counts).join(_area(counted, split), split, "left")
 
 
 def class_report(df: DataFrame, split: str, label: str, prediction: str) -> DataFrame:

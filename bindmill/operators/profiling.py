@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bindmill.operators import moments
 from bindmill.operators.grouping import running_totals
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -96,10 +95,9 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair in one pass; a pair uses the rows where both are present."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"))
-             for a, b in combinations(columns, 2)]
-    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    names = F.array(*map(F.lit, columns))
+    pairs = moments.pair_sums(moments.as_vector(df, columns), "v").where("i < j")
+    return pairs.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), moments.correlation().alias("r"))
 
 
 def share_true(df: DataFrame, flag: Column) -> DataFrame:

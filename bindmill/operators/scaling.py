@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bindmill.operators import moments
 from bindmill.operators.vectors import vector_hygiene
 from bindmill.session import durable
 
@@ -22,12 +23,14 @@ def concat_features(df: DataFrame, blocks: list[str], name: str = "features") ->
         *[b for b in blocks if b != name])
 
 
-def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fill: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fill: float = 0.0,
+                 constant: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, report): rows whose vector columns have no gaps, and one row that tells what went.
 
     ``missing`` is what goes where a vector or an element is missing: ``columns`` drops the positions that are missing
-    in some row and keeps every row, ``rows`` drops the rows, ``fill`` puts ``fill`` there. The report has n_rows,
-    n_rows_dropped, n_positions, n_positions_dropped and n_filled.
+    in some row and keeps every row, ``rows`` drops the rows, ``fill`` puts ``fill`` there. With ``constant``, positions
+    whose present elements are all equal go too. The report has n_rows, n_rows_dropped, n_positions,
+    n_positions_dropped (missing or constant) and n_filled.
     """
     if missing not in ("columns", "rows", "fill"):
         raise ValueError(f"unknown choice {missing}")
@@ -38,6 +41,11 @@ def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fil
     for r in hygiene.where("n_missing = 0").select("block", "dim").orderBy("dim").collect():  # one row per position
         whole[r.block].append(r.dim)
 
+    flat = {b: set() for b in blocks}
+    for r in hygiene.where("variance = 0").select("block", "dim").collect() if constant else ():
+        flat[r.block].add(r.dim)
+    places = {b: [i for i in (whole[b] if missing == "columns" else range(widths[b])) if i not in flat[b]] for b in blocks}
+
     def cell(block: str, at: Column) -> Column:
         """The element, null if it or its vector is missing."""
         return F.nanvl(F.get(F.col(block).cast("array<double>"), at), F.lit(None).cast("double"))
@@ -46,21 +54,22 @@ def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fil
         return F.exists(F.array(*map(F.lit, gaps[block])).cast("array<int>"), lambda i: cell(block, i).isNull())
 
     def kept(block: str) -> Column:
-        places = F.array(*map(F.lit, range(widths[block]) if missing == "fill" else whole[block])).cast("array<int>")
-        return F.transform(places, lambda i: F.coalesce(cell(block, i), F.lit(fill)))
+        at = F.array(*map(F.lit, places[block])).cast("array<int>")
+        return F.transform(at, lambda i: F.coalesce(cell(block, i), F.lit(fill)))
 
     gaps = {b: sorted(set(range(widths[b])) - set(whole[b])) for b in blocks}
     # a block that no row has breaks every row
     lost = reduce(Column.__or__, [broken(b) if widths[b] else F.lit(True) for b in blocks])
-    rows = df.where(~lost) if missing == "rows" else df.withColumns({b: kept(b) for b in blocks})
-    n_positions, n_whole = sum(widths.values()), sum(map(len, whole.values()))
-    if not n_positions or missing == "columns" and not n_whole:
-        raise ValueError(f"every position of {blocks} is missing in some row")
+    rows = df.where(~lost) if missing == "rows" else df
+    rows = rows.withColumns({b: kept(b) for b in blocks}) if missing != "rows" or constant else rows
+    n_positions, n_kept = sum(widths.values()), sum(map(len, places.values()))
+    if not n_kept:
+        raise ValueError(f"every position of {blocks} is missing in some row or constant")
     dropped = F.count_if(lost) if missing == "rows" else F.lit(0).cast("long")
     n_filled = hygiene.agg(F.coalesce(F.sum("n_missing"), F.lit(0))).scalar() if missing == "fill" else F.lit(0)
     report = df.agg(F.count(F.lit(1)).alias("n_rows"), dropped.alias("n_rows_dropped")).select(
         "n_rows", "n_rows_dropped", F.lit(n_positions).cast("long").alias("n_positions"),
-        F.lit(n_positions - n_whole if missing == "columns" else 0).cast("long").alias("n_positions_dropped"),
+        F.lit(n_positions - n_kept).cast("long").alias("n_positions_dropped"),
         n_filled.cast("long").alias("n_filled"))
     return rows, durable(report)
 
@@ -68,10 +77,10 @@ def whole_blocks(df: DataFrame, blocks: list[str], missing: str = "columns", fil
 def fit_scaler(train: DataFrame, features: str = "features") -> DataFrame:
     """One row with the mean and population deviation of every feature; a constant feature gets scale 1.
 
-    Partial aggregation keeps one number per feature and task.
+    Missing elements are left out of both. Tasks exchange a row per feature.
     """
-    long = train.select(F.posexplode(features).alias("at", "x"))
-    per_feature = long.groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    per_feature = moments.pair_sums(train, features, "self").select(
+        F.col("i").alias("at"), moments.mean().alias("mean"), F.sqrt(moments.variance(sample=False)).alias("std"))
     scale = F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))
     entries = F.array_sort(F.collect_list(F.struct("at", "mean", scale.alias("scale"))))
     return per_feature.agg(entries.alias("e")).select(F.struct(

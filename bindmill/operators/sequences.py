@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindmill.functions.scalars import put_field
+from bindmill.operators import moments
 from bindmill.operators.grouping import first_per_key
 from bindmill.session import durable
 
@@ -95,7 +96,4 @@ def chain_lines(atoms: DataFrame, residues: DataFrame, threshold: float = 0.0) -
 def pool_tokens(tokens: DataFrame, key: str, position: str, length: str, vector: str) -> DataFrame:
     """Mean of the token vectors at positions 1 to ``length`` of each key."""
     inside = tokens.filter((F.col(position) >= 1) & (F.col(position) <= F.col(length)))
-    long = inside.select(key, F.posexplode(vector).alias("at", "x"))
-    means = long.groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    entries = F.array_sort(F.collect_list(F.struct("at", "x")))
-    return means.groupBy(key).agg(entries["x"].alias(vector))
+    return moments.segment_means(inside, key, vector)

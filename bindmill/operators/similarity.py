@@ -131,13 +131,18 @@ def _signatures(bands: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"bands": bands.tolist(), "low": _packed(bits[:, :half]), "high": _packed(bits[:, half:SKETCH])})
 
 
-def _sign_agreement(limit: float) -> float:
+def sign_agreement(limit: float) -> float:
     return 1 - math.acos(limit) / math.pi
 
 
-def _vector_signature(limit: float, seed: int):
-    """Bands of signs of random projections, and a sketch of further signs."""
-    n_bands = _n_bands(_sign_agreement(limit), VECTOR_BITS)
+def band_bits(rows: int) -> int:
+    """Signs in a band so that unlike vectors of a table of so many rows seldom share one."""
+    return max(VECTOR_BITS - 2, math.ceil(math.log2(max(rows, 1))) + 3)
+
+
+def vector_signature(limit: float, seed: int, bits: int = VECTOR_BITS):
+    """Bands of ``bits`` signs of random projections, and a sketch of further signs."""
+    n_bands = _n_bands(sign_agreement(limit), bits)
 
     @F.pandas_udf(SIGNATURE)
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -147,12 +152,12 @@ def _vector_signature(limit: float, seed: int):
             parts = []
             for n, same in values.groupby(length):
                 if n not in planes:
-                    planes[n] = np.random.default_rng((seed, n)).normal(size=(n, n_bands * VECTOR_BITS + SKETCH))
+                    planes[n] = np.random.default_rng((seed, n)).normal(size=(n, n_bands * bits + SKETCH))
                 x = np.stack(same.to_numpy()).astype(np.float64)
                 # of unit length, which changes no sign but keeps sums finite
                 signs = (x / np.abs(x).max(axis=1, keepdims=True)) @ planes[n] > 0
-                numbers = _packed(signs[:, :-SKETCH].reshape(-1, VECTOR_BITS)).reshape(len(x), n_bands)
-                part = _signatures(numbers | np.arange(n_bands) << VECTOR_BITS, signs[:, -SKETCH:])
+                numbers = _packed(signs[:, :-SKETCH].reshape(-1, bits)).reshape(len(x), n_bands)
+                part = _signatures(numbers | np.arange(n_bands) << bits, signs[:, -SKETCH:])
                 parts.append(part.set_index(same.index))
             yield pd.concat(parts).loc[values.index] if parts else pd.DataFrame(columns=["bands", "low", "high"])
 
@@ -167,7 +172,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _set_signature(limit: float, seed: int):
+def set_signature(limit: float, seed: int):
     """Bands of least hashes, and a sketch of one bit of each of ``SKETCH`` least hashes. Sets are not empty."""
     n_bands = _n_bands(limit, SET_ROWS)
     size = max(SKETCH, n_bands * SET_ROWS)
@@ -198,6 +203,15 @@ def _set_signature(limit: float, seed: int):
     return signature
 
 
+def least_agreement(agree: float) -> int:
+    """Bits of two sketches that agree at least, for a pair whose bits agree with the given chance."""
+    return math.floor(SKETCH * agree - SKETCH_SLACK * math.sqrt(SKETCH * agree * (1 - agree)))
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, SCORE_DIGITS)
+
+
 def _candidates(signed: DataFrame, agree: float) -> DataFrame:
     """(key, bands, low, high) -> a, b, at: pairs that share a band and whose sketches agree, with one place they met."""
     members = signed.select("key", "low", "high", F.explode("bands").alias("band"))
@@ -208,7 +222,7 @@ def _candidates(signed: DataFrame, agree: float) -> DataFrame:
                         F.col("key").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
     right = dealt.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"),
                          F.col("key").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    least = math.floor(SKETCH * agree - SKETCH_SLACK * math.sqrt(SKETCH * agree * (1 - agree)))
+    least = least_agreement(agree)
     differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
     met = left.join(right, ["band", "i", "j"]).where(
         ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (differ <= SKETCH - least))
@@ -216,7 +230,7 @@ def _candidates(signed: DataFrame, agree: float) -> DataFrame:
         F.min(F.struct("band", "i", "j")).alias("at")))
 
 
-def _cosines(left: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
+def cosines(left: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
     same = np.array([len(r) == len(left) for r in right])
     out = np.zeros(len(right))
     if same.any():
@@ -225,7 +239,7 @@ def _cosines(left: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _overlaps(left: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
+def overlaps(left: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
     """Shares of common elements of sorted sets."""
     out = np.zeros(len(right))
     for k, other in enumerate(right):
@@ -255,7 +269,7 @@ def _near_pairs(nodes: DataFrame, signature, agree: float, limit: float, score)
         values, counts = dict(zip(y["b"], y["v"])), dict(zip(y["b"], y["n"]))
         rows = []
         for row in x.itertuples(index=False):
-            scores = np.round(score(row.v, [values[b] for b in row.others]), SCORE_DIGITS)
+            scores = rounded(score(row.v, [values[b] for b in row.others]))
             rows += [(row.a, b, row.n * counts[b], s) for b, s in zip(row.others, scores) if s > limit]
         return pd.DataFrame(rows, columns=["a", "b", "n_pairs", "score"])
 
@@ -265,17 +279,28 @@ def _near_pairs(nodes: DataFrame, signature, agree: float, limit: float, score)
     return apart.unionByName(equal)
 
 
+def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v) of the rows with a key and a vector that has a cosine."""
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(
+        F.col("key").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+
+
+def worded_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words) of the rows with a key and a word."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    return df.select(F.col(key).alias("key"), words.alias("words")).where("key is not null and size(words) > 0")
+
+
 def near_duplicate_vectors(df: DataFrame, key: str, vector: str, limit: float = 0.95, seed: int = 42) -> DataFrame:
     """(a, b, n_pairs, score): pairs of all rows whose cosine, rounded to six decimals, is above ``limit``.
 
     ``a`` and ``b`` are the smallest keys of equal vectors, n_pairs counts the pairs of rows. Vectors that are null, of
     length zero or with an element that is no finite number have no cosine and are left out, as are null keys.
     """
-    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(
-        F.col("key").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    rows = usable_vectors(df, key, vector)
     nodes = rows.groupBy("v").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    return _near_pairs(nodes, _vector_signature(limit, seed), _sign_agreement(limit), limit, _cosines)
+    return _near_pairs(nodes, vector_signature(limit, seed), sign_agreement(limit), limit, cosines)
 
 
 def gram_set(words: str, k: int):
@@ -293,9 +318,8 @@ def near_duplicate_texts(df: DataFrame, key: str, text: str, limit: float = 0.8,
     ``a`` and ``b`` are the smallest keys of texts with the same words, n_pairs counts the pairs of rows. Texts without
     words and null keys are left out. Sets are of 64-bit hashes, as a fingerprint of 2,048 bits is full on long texts.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    rows = df.select(F.col(key).alias("key"), words.alias("words")).where("key is not null and size(words) > 0")
+    rows = worded_texts(df, key, text)
     same = rows.groupBy(F.unhex(F.md5(F.array_join("words", " "))).alias("same")).agg(
         F.min("key").alias("key"), F.count("*").alias("n"))
     nodes = same.join(rows, "key").select("key", "n", gram_set("words", k).alias("v"))
-    return _near_pairs(nodes, _set_signature(limit, seed), (1 + limit) / 2, limit, _overlaps)
+    return _near_pairs(nodes, set_signature(limit, seed), (1 + limit) / 2, limit, overlaps)

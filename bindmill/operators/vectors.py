@@ -2,43 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bindmill.functions.scalars import l2_norm
+from bindmill.operators import moments
 
 NEAR_CONSTANT = 0.01
 SHARE_SLACK = 1e-12  # sums of shares round
 
 
-def _long(df: DataFrame, vector: str, *extra: str) -> DataFrame:
-    return df.filter(F.col(vector).isNotNull()).select(*extra, F.posexplode(vector).alias("dim", "x")).withColumn(
-        "x", F.col("x").cast("double"))
-
-
 def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
-    """Mean, sample deviation and variance of every dimension."""
-    return _long(df, vector).groupBy("dim").agg(
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"))
+    """Mean, sample deviation and variance of every dimension, from one pass; null and NaN elements are left out."""
+    sums = moments.pair_sums(df, vector, "self").select(
+        F.col("i").alias("dim"), moments.mean().alias("mean"), moments.variance(sample=True).alias("variance"))
+    return sums.select("dim", "mean", F.sqrt("variance").alias("std"), "variance")
 
 
 def vector_hygiene(df: DataFrame, blocks: list[str]) -> DataFrame:
-    """(block, dim, n_missing, variance) of every position of some vector columns, from one pass over the rows.
+    """(block, dim, n_missing, variance) of every position of some vector columns, from one pass over each.
 
     A position is missing in a row if the vector is null or too short, or if the element is null or NaN. The variance
     is that of a population. A block without any vector has no positions.
     """
-    def elements(block: str) -> Column:
-        values = F.transform(F.col(block).cast("array<double>"), lambda x, i: F.struct(
-            F.lit(block).alias("block"), i.alias("dim"), F.nanvl(x, F.lit(None).cast("double")).alias("x")))
-        return F.coalesce(values, F.array().cast("array<struct<block:string,dim:int,x:double>>"))
-
-    element = F.explode(F.concat(*map(elements, blocks)))
     n_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.select(element.alias("e")).groupBy("e.block", "e.dim").agg(
-        F.count("e.x").alias("n"), F.var_pop("e.x").alias("variance")).select(
-        "block", "dim", (n_rows - F.col("n")).alias("n_missing"), "variance")
+    parts = [moments.pair_sums(df, b, "self").select(
+        F.lit(b).alias("block"), F.col("i").alias("dim"), (n_rows - F.col("n")).alias("n_missing"),
+        moments.variance(sample=False).alias("variance")) for b in blocks]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_constant_dimensions(df: DataFrame, vector: str, limit: float = NEAR_CONSTANT) -> DataFrame:
@@ -61,15 +55,16 @@ def norm_by_group(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector per group, pre-aggregated per (group, dimension)."""
-    means = _long(df.filter(F.col(group).isNotNull()), vector, group).groupBy(group, "dim").agg(F.avg("x").alias("x"))
-    entries = F.array_sort(F.collect_list(F.struct("dim", "x")))  # one entry per dimension
-    return means.groupBy(group).agg(F.transform(entries, lambda e: e["x"]).alias(vector))
+    """Mean vector per group, added up by the tasks that read the rows."""
+    return moments.segment_means(df, group, vector)
 
 
 def dimension_correlations(df: DataFrame, vector: str, target: str) -> DataFrame:
-    return _long(df.filter(F.col(target).isNotNull()), vector, target).groupBy("dim").agg(
-        F.corr("x", F.col(target).cast("double")).alias("r"))
+    """(dim, r): correlation of every dimension with a target column, over the rows that have both."""
+    both = df.filter(F.col(target).isNotNull() & F.col(vector).isNotNull()).select(F.concat(
+        F.array(F.col(target).cast("double")), F.col(vector).cast("array<double>")).alias("v"))
+    return moments.pair_sums(both, "v", "first").where("i > 0").select(
+        (F.col("i") - 1).alias("dim"), moments.correlation().alias("r"))
 
 
 def correlation_summary(correlations: DataFrame, limits: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:

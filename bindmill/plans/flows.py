@@ -48,6 +48,12 @@ def master_table(chains: DataFrame, ligands: DataFrame, entries: DataFrame,
     return first.join(entries, first["pdb_id"] == entries[entry_key], "left")
 
 
+def current_entries(holdings: DataFrame, status: str, entry: str, current: str) -> DataFrame:
+    """Distinct lower-case ids of the current entries; an error if one of them also has another status."""
+    checked = dedup.check_holdings(holdings, status, entry, current)
+    return checked.filter(F.col(status) == current).select(F.lower(entry).alias("entry")).distinct()
+
+
 def link_activities(master: DataFrame, mappings: DataFrame, molecules: DataFrame, targets: DataFrame,
                     activities: DataFrame) -> DataFrame:
     """Attach accessions, molecule ids, target ids and measurements to the master table."""
@@ -102,20 +108,20 @@ def one_organism(features: DataFrame, organism: str = ORGANISM) -> DataFrame:
 
 
 def split_features(features: DataFrame, blocks: list[str], target: str = "p_activity", missing: str = "columns",
-                   fill: float = 0.0) -> DataFrame:
+                   fill: float = 0.0, constant: bool = True) -> DataFrame:
     """Scaled feature vectors with target, identities and split, stored in the checkpoint folder."""
-    return split_features_report(features, blocks, target, missing, fill)[0]
+    return split_features_report(features, blocks, target, missing, fill, constant)[0]
 
 
 def split_features_report(features: DataFrame, blocks: list[str], target: str = "p_activity", missing: str = "columns",
-                          fill: float = 0.0) -> tuple[DataFrame, DataFrame]:
+                          fill: float = 0.0, constant: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of ``split_features`` and the report of ``scaling.whole_blocks``: rows, positions and elements that went.
 
     By default the feature positions that are missing in some row go and every row stays; ``missing`` may also be
-    ``rows`` or ``fill``.
+    ``rows`` or ``fill``. Positions without variance go unless ``constant`` is false.
     """
     ids = ["molecule_chembl_id", "canonical_smiles", "sequence_1l", "pdb_id", "chain_id", "ligand_id"]
-    kept, report = scaling.whole_blocks(features, blocks, missing, fill)
+    kept, report = scaling.whole_blocks(features, blocks, missing, fill, constant)
     rows = kept.withColumn("molecule", F.trim("canonical_smiles")).withColumn("sequence", F.trim("sequence_1l"))
     rows = rows.withColumn("pair_key", composite_key("pdb_id", "chain_id", "sequence", "ligand_id"))
     vectors = durable(scaling.concat_features(

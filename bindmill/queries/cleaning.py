@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindmill.functions.scalars import cosine, dot, has_word, set_tanimoto
+from bindmill.functions.scalars import cosine, dot, has_word, set_tanimoto, to_number
 from bindmill.operators import cascade, filters
 from bindmill.queries.common import big, r6, table
 from bindmill.schema import matching_columns, numeric_columns, require_columns
@@ -149,7 +149,19 @@ def column_scores(spark: SparkSession, folder: str) -> DataFrame:
                        F.round(set_tanimoto(names, kinds), 6).alias("tanimoto"))
 
 
+def coerced_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of a text column that holds words, blanks, units, NaN and empty cells too."""
+    key = F.col("p_partkey") % 7
+    size = F.col("p_size").cast("string")
+    text = (F.when(key == 0, F.col("p_name")).when(key == 1, F.concat(F.lit("  "), size, F.lit(" ")))
+            .when(key == 2, F.concat(size, F.lit(" kg"))).when(key == 3, F.lit("")).when(key == 4, F.lit("NaN"))
+            .when(key == 5, F.concat(F.lit("-"), size, F.lit("e1"))).otherwise(F.col("p_retailprice").cast("string")))
+    parts = table(spark, folder, "part").select("p_partkey", text.alias("text"))
+    return parts.select("p_partkey", to_number("text").alias("number"))
+
+
 QUERIES = {
+    "coerced_numbers": coerced_numbers,
     "measure_rows": measure_rows, "present_rows": present_rows, "null_keeping_rows": null_keeping_rows,
     "same_origin": same_origin, "exclusion_reasons": exclusion_reasons, "exclusion_outputs": exclusion_outputs,
     "criteria_failed": criteria_failed, "drug_likeness": drug_likeness, "forbidden_words": forbidden_words,
@@ -185,6 +197,9 @@ _QUALITY = " UNION ALL ".join(
     for name, value in [*[(c, c) for c in _NUMERIC], ("gappy", "nullif(l_tax, 0)"), ("constant", "7.5::DOUBLE")])
 
 ORACLES = {
+    "coerced_numbers": """
+SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN p_size WHEN 5 THEN -10 * p_size WHEN 6 THEN p_retailprice END::DOUBLE AS number
+FROM part""",
     "measure_rows": """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_extendedprice FROM lineitem
 WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_tax > 0""",

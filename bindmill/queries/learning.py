@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindmill.operators import metrics, models, scaling, splitting
+from bindmill.operators import metrics, models, networks, scaling, splitting
 from bindmill.queries.common import r6, table
 from bindmill.session import durable
 
 FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_marks", "mean_word"]
 #: Parameters of the single fits, inside the search ranges.
 TREE = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 2, "subsamplingRate": 0.8}
-NETWORK = {"units": [16], "maxIter": 60}
-TREE_TRIALS, NETWORK_TRIALS = 4, 8  # candidates; the reference tries 400
-PARALLEL = 4  # candidates fitted at a time
+NETWORK = {"units": [16], "dropout": [0.1], "learning_rate": 0.005, "batch_size": 32, "epochs": 100}
+TRIALS = 400  # candidates of a search
 SCORES = ("accuracy", "recall", "precision", "f1", "mcc", "auc")
 
 
@@ -38,31 +37,27 @@ def _report(model, rows: DataFrame) -> DataFrame:
 def boosted_tree_report(spark: SparkSession, folder: str, params: dict = TREE) -> DataFrame:
     rows = _rows(spark, folder)
     train = models.with_vector(rows, "quality").filter("split = 'train'")
-    return _report(models.boosted_trees(params).fit(train), rows)
+    return _report(models.boosted_trees(params).fit(models.compact(train)), rows)
 
 
 def feed_forward_report(spark: SparkSession, folder: str, params: dict = NETWORK) -> DataFrame:
+    """Scores of one network with dropout, stopped at its least validation loss."""
     rows = _rows(spark, folder)
-    train = models.with_vector(rows, "quality").filter("split = 'train'")
-    return _report(models.feed_forward(params, len(FEATURES)).fit(train), rows)
+    return _report(networks.fit_networks(models.compact(rows), "quality", [params])[0], rows)
 
 
-def selected_model_report(spark: SparkSession, folder: str, trials: int = TREE_TRIALS,
+def selected_model_report(spark: SparkSession, folder: str, trials: int = TRIALS,
                           ranges: dict = models.TREE_RANGES) -> DataFrame:
     """Scores of the boosted trees with the best validation F1 among seeded draws from the search ranges."""
     rows = _rows(spark, folder)
-    model, _ = models.select_by_f1(rows, "quality", models.draw_tree_params(trials, ranges=ranges), models.boosted_trees,
-                                   parallel=PARALLEL)
-    return _report(model, rows)
+    return _report(models.search_trees(rows, "quality", models.draw_tree_params(trials, ranges=ranges))[0], rows)
 
 
-def selected_network_report(spark: SparkSession, folder: str, trials: int = NETWORK_TRIALS,
+def selected_network_report(spark: SparkSession, folder: str, trials: int = TRIALS,
                             ranges: dict = models.NETWORK_RANGES) -> DataFrame:
     """Scores of the feed-forward network with the best validation F1 among seeded draws from the search ranges."""
     rows = _rows(spark, folder)
-    model, _ = models.select_by_f1(rows, "quality", models.draw_network_params(trials, ranges=ranges),
-                                   lambda params: models.feed_forward(params, len(FEATURES)), parallel=PARALLEL)
-    return _report(model, rows)
+    return _report(models.search_networks(rows, "quality", models.draw_network_params(trials, ranges=ranges))[0], rows)
 
 
 QUERIES = {f.__name__: f for f in (boosted_tree_report, feed_forward_report, selected_model_report,

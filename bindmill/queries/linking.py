@@ -138,6 +138,12 @@ def holdings_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.holdings_overlaps(holdings, "o_orderstatus", "c_name", "F")
 
 
+def current_holdings(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that are filled, after the check that none of them is open as well."""
+    holdings = table(spark, folder, "orders").select("o_orderstatus", F.concat(F.lit("ORD"), "o_orderkey").alias("entry"))
+    return flows.current_entries(holdings, "o_orderstatus", "entry", "F")
+
+
 def duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     flags = duplicate_flags(events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
@@ -190,7 +196,7 @@ def mixed_sort_head(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     link_segments, master_table, attached_facts, fetched_facts, fallback_ids, multimap_rows, scalar_lookup,
     target_components, missing_both_sides, keys_without_match, semi_lines, composite_keys, union_sources,
-    set_sizes, holdings_overlap, duplicate_rows, duplicate_pairs, best_per_part, first_per_order,
+    set_sizes, holdings_overlap, current_holdings, duplicate_rows, duplicate_pairs, best_per_part, first_per_order,
     nearest_per_supplier, top_parts, part_count_of_counts, repeated_names, mixed_sort_head)}
 
 _LINE_SQL = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, l_partkey, l_extendedprice"
@@ -260,6 +266,7 @@ UNION ALL SELECT 'only b', count(*) FROM (FROM b EXCEPT FROM a)""",
 WITH h AS (SELECT DISTINCT o_orderstatus AS status, lower(c_name) AS entry FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT status, count(*) AS n_entries, count(*) FILTER (entry IN (SELECT entry FROM h WHERE status = 'F')) AS n_shared
 FROM h WHERE status <> 'F' GROUP BY status""",
+    "current_holdings": "SELECT DISTINCT 'ord' || o_orderkey AS entry FROM orders WHERE o_orderstatus = 'F'",
     "duplicate_rows": """
 SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS BIGINT) AS is_duplicate
 FROM events""",

@@ -77,6 +77,17 @@ def chain_files(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines")).withColumn("n_files", listing.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
+def missing_entry_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations without a file, after one was written for each that has a supplier with a high balance."""
+    path = new_path(spark)
+    lines = table(spark, folder, "supplier").filter("s_acctbal > 8000").select(
+        F.col("s_nationkey").cast("string").alias("pdb_id"), F.lit("A").alias("chain_id"),
+        F.col("s_suppkey").alias("line_no"), F.col("s_name").alias("value"))
+    sinks.write_chain_files(lines, path)
+    wanted = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("pdb_id"))
+    return tables.missing_files(wanted, "pdb_id", tables.list_files(spark, path, "txt", r"pdb_id=([^/]+)/"))
+
+
 def split_matrices(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled vectors stored by split; one split is read back by partition pruning."""
     path = new_path(spark)
@@ -101,7 +112,8 @@ def renamed_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_columns, csv_texts, csv_quoted, id_list, fasta_file, record_scan, chain_files, split_matrices, stored_record, renamed_files)}
+    csv_columns, csv_texts, csv_quoted, id_list, fasta_file, record_scan, chain_files, missing_entry_files,
+    split_matrices, stored_record, renamed_files)}
 
 _TOKEN = "md5('42|' || p_partkey) || ':' || p_partkey"
 
@@ -120,6 +132,8 @@ UNION ALL SELECT 0, count(*), CAST(sum(length(sequence_1l)) AS BIGINT) FROM c"""
     "chain_files": """
 SELECT s_nationkey::BIGINT AS nation, right(s_name, 1) AS chain, count(*) AS n_lines,
   (SELECT count(DISTINCT (s_nationkey, right(s_name, 1))) FROM supplier) AS n_files FROM supplier GROUP BY ALL""",
+    "missing_entry_files": """
+SELECT n_nationkey::VARCHAR AS pdb_id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)""",
     "split_matrices": f"""
 SELECT p_partkey, round(p_size, 6)::DOUBLE AS x1, round(p_retailprice, 6) + 0.0 AS x2 FROM (
   SELECT *, row_number() OVER (ORDER BY {_TOKEN}) AS rk, count(*) OVER () AS n FROM part)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from bindmill.functions.scalars import vector_columns
-from bindmill.operators import dedup, profiling, scaling, sequences, similarity, vectors
+from bindmill.operators import dedup, near_classes, profiling, scaling, sequences, similarity, vectors
 from bindmill.queries.common import big, r6, table
 
 PROTEIN_SAMPLE = 300
@@ -108,11 +108,13 @@ def text_tanimoto(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_duplicate_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.near_duplicate_vectors(_embeddings(spark, folder), "vec_id", "embedding", NEAR_COSINE)
+    """Every vector with its class of near copies."""
+    return near_classes.vector_classes(_embeddings(spark, folder), "vec_id", "embedding", NEAR_COSINE)
 
 
 def near_duplicate_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.near_duplicate_texts(table(spark, folder, "documents"), "doc_id", "text", NEAR_TEXT)
+    """Every document that has a word with its class of near copies."""
+    return near_classes.text_classes(table(spark, folder, "documents"), "doc_id", "text", NEAR_TEXT)
 
 
 def pooled_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,6 +183,10 @@ SELECT count(*) AS n_pairs, {shares}, {counts}, round(quantile_cont(s, 0.5), 6)
 FROM (SELECT round({score}, 6) AS s FROM {source} a JOIN {source} b ON a.k < b.k)"""
 
 
+_CLASSES = """e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+t(node, root) AS (SELECT k, k FROM d UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node WHERE t.root < e.b),
+c AS (SELECT node, min(root) AS root FROM t GROUP BY node)"""
+
 ORACLES = {
     "dimension_stats": _LONG + """
 SELECT dim, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(variance, 6) + 0.0 AS variance FROM s""",
@@ -228,22 +234,24 @@ v AS (SELECT doc_id AS k, list_distinct(list_transform(range(1, greatest(len(w),
         "v", "CASE WHEN len(a.b) + len(b.b) = 0 THEN 1 ELSE len(list_intersect(a.b, b.b))::DOUBLE / "
              "(len(a.b) + len(b.b) - len(list_intersect(a.b, b.b))) END", (0.2, 0.4)),
     "near_duplicate_vectors": f"""
-WITH d AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS k, count(*) AS n FROM embeddings GROUP BY ALL),
-p AS (SELECT a.k AS a, b.k AS b, a.n * b.n AS n_pairs, round(list_cosine_similarity(a.v, b.v), 6) AS score
-      FROM d a JOIN d b ON a.k < b.k)
-SELECT * FROM p WHERE score > {NEAR_COSINE}::DOUBLE
-UNION ALL SELECT k, k, n * (n - 1) // 2, 1::DOUBLE FROM d WHERE n > 1""",
+WITH RECURSIVE d AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS k FROM embeddings GROUP BY ALL),
+p AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.k < b.k
+      WHERE round(list_cosine_similarity(a.v, b.v), 6) > {NEAR_COSINE}::DOUBLE),
+{_CLASSES}
+SELECT vec_id AS key, root AS class_id, count(*) OVER (PARTITION BY root) AS class_size
+FROM embeddings e JOIN d ON e.embedding::DOUBLE[] = d.v JOIN c ON c.node = d.k""",
     "near_duplicate_texts": f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-d AS (SELECT w, min(doc_id) AS k, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY w),
-g AS (SELECT DISTINCT k, n, unnest(list_transform(range(1, greatest(len(w), 2)), lambda i: concat_ws(' ', w[i], w[i + 1]))) AS g
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT w, min(doc_id) AS k FROM w WHERE len(w) > 0 GROUP BY w),
+g AS (SELECT DISTINCT k, unnest(list_transform(range(1, greatest(len(w), 2)), lambda i: concat_ws(' ', w[i], w[i + 1]))) AS g
       FROM d),
-s AS (SELECT k, any_value(n) AS n, count(*) AS size FROM g GROUP BY k),
-c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
-p AS (SELECT a, b, x.n * y.n AS n_pairs, round(c::DOUBLE / (x.size + y.size - c), 6) AS score
-      FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b)
-SELECT * FROM p WHERE score > {NEAR_TEXT}::DOUBLE
-UNION ALL SELECT k, k, n * (n - 1) // 2, 1::DOUBLE FROM d WHERE n > 1""",
+s AS (SELECT k, count(*) AS size FROM g GROUP BY k),
+m AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+p AS (SELECT a, b FROM m JOIN s x ON x.k = a JOIN s y ON y.k = b
+      WHERE round(c::DOUBLE / (x.size + y.size - c), 6) > {NEAR_TEXT}::DOUBLE),
+{_CLASSES}
+SELECT doc_id AS key, root AS class_id, count(*) OVER (PARTITION BY root) AS class_size
+FROM w JOIN d USING (w) JOIN c ON c.node = d.k""",
     "pooled_tokens": """
 SELECT conv_id, round(avg(length(text)), 6) + 0.0 AS p1, round(avg((role = 'user')::INT), 6) + 0.0 AS p2
 FROM conversations JOIN (SELECT conv_id, max(turn) - 1 AS last FROM conversations GROUP BY conv_id) USING (conv_id)

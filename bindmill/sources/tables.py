@@ -28,12 +28,16 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return nan_to_null(df.select(*columns) if columns else df)
 
 
-def list_files(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """Names and sizes of the files with one extension; file contents are not read."""
+def list_files(spark: SparkSession, path: str, extension: str, entry: str | None = None) -> DataFrame:
+    """Names, entries and sizes of the files with one extension; file contents are not read.
+
+    The entry is told by the file's name, or by the first group of the pattern ``entry`` in its whole path.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}")
              .option("recursiveFileLookup", True).load(path))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("file_name"), entry_of_file(name).alias("entry_id"), "length")
+    own = F.regexp_extract("path", entry, 1) if entry else entry_of_file(name)
+    return files.select(name.alias("file_name"), own.alias("entry_id"), "length")
 
 
 def missing_files(expected: DataFrame, key: str, files: DataFrame) -> DataFrame:

@@ -435,17 +435,19 @@ def test_near_duplicate_texts_of_a_whole_table(spark, monkeypatch):
 # --- models ---------------------------------------------------------------------
 
 def test_selection_queries_search_the_whole_ranges(spark, small, monkeypatch):
-    """What the registered queries fit is drawn from the operators' own ranges; the fits here are cut short."""
-    asked = {"trees": [], "networks": []}
-    trees, network = models.boosted_trees, models.feed_forward
-    monkeypatch.setattr(models, "boosted_trees", lambda p: asked["trees"].append(p) or trees({**p, "maxIter": 2, "maxDepth": 2}))
-    monkeypatch.setattr(models, "feed_forward", lambda p, n: asked["networks"].append(p) or network({**p, "maxIter": 3}, n))
+    """The registered queries search 400 draws from the operators' own ranges; stages are cut short here."""
+    asked, search_all = {}, models.search.successive_halving
+
+    def cut_short(rows, label, candidates, staged, stages, **options):
+        asked[staged.__name__] = candidates
+        return search_all(rows, label, candidates[:8], staged, (2, 3), **options)
+
+    monkeypatch.setattr(models.search, "successive_halving", cut_short)
     assert learning.QUERIES["selected_model_report"](spark, small).count() > 0
     assert learning.QUERIES["selected_network_report"](spark, small).count() > 0
-    by_trial = lambda found: sorted(map(str, found))
-    assert by_trial(asked["trees"]) == by_trial(models.draw_tree_params(learning.TREE_TRIALS))
-    assert by_trial(asked["networks"]) == by_trial(models.draw_network_params(learning.NETWORK_TRIALS))
-    assert learning.QUERIES["boosted_tree_report"](spark, small).count() > 0 and asked["trees"][-1]["maxIter"] >= 100
+    assert asked["StagedTrees"] == models.draw_tree_params(400)
+    assert asked["StagedNetwork"] == models.draw_network_params(400)
+    assert learning.TREE["maxIter"] >= 100 and learning.QUERIES["boosted_tree_report"](spark, small).count() > 0
 
 
 def test_model_selection(spark, tmp_path):
