@@ -15,7 +15,7 @@ import json
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from pathlib import Path
 
 import numpy as np
@@ -77,6 +77,12 @@ class Encoder:
         return np.array(self.quick.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(content: str) -> Encoder:
+    """The encoder of a file, built once for each process that runs tasks."""
+    return Encoder(content)
+
+
 def piece_lengths(n: int, capacity: int) -> np.ndarray:
     """Lengths of the pieces of a document of ``n`` ids: whole sequences, and the rest as the first piece."""
     pieces = -(-n // capacity)
@@ -102,7 +108,7 @@ def cut_documents(docs: DataFrame, text: str = "text", vocabulary: str | None =
 
     @F.pandas_udf(fields)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(held.value)
+        encoder = encoder_of(held.value)
         for texts in batches:
             rows = []
             for body in texts:
