@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -173,8 +175,77 @@ def test_pseudonyms_of_awkward_rows(edge_docs, no_docs):
     assert {*got.columns} == {*edge_docs.columns, "found"} and got.count() == 10 and pii.pseudonymise(no_docs).count() == 0
 
 
+def test_pseudonyms_of_very_long_runs(spark):
+    """A million characters of every kind of pattern, and runs that stop just before they are one."""
+    n = 10 ** 6
+    runs = ["x@a" + ".a" * (n // 2), "a" * n, "a" * n + "@x.com", "a." * (n // 2) + "@x.com", "@" * n, "x@" * (n // 2), "x@a." * (n // 4), "1" * n,
+            "1234 " * (n // 5), "1.2." * (n // 4), "12-" * (n // 3), "123-45-" * (n // 7), "01/02/" * (n // 6), "+1 " * (n // 3), "(123) " * (n // 6),
+            "token=" * (n // 6), "f" * n, "token='" + "f" * n, "token" + " " * n + "=", "." * n, "-" * n, "%" * n]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(runs)], "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    assert all(got[k].text == t for k, t in enumerate(runs) if not got[k].found) and len(got) == len(runs)
+    assert [f.kind for f in got[0].found] == ["email"] and got[0].text[1:] == runs[0][1:]
+    mixed = " ".join(["bob@x.com 123-45-6789 2020-02-29 10.2.33.4 4539578763621486"] * 1000)
+    row = pii.pseudonymise(spark.createDataFrame([(mixed,)], "text string")).first()
+    assert len(row.found) == 5000 and len({f.pseudonym for f in row.found}) == 5
+
+
+def test_pseudonyms_are_valid_and_keep_values_apart(spark):
+    numbers = [f"{900 + k // 30:03d}-{k % 30 + 1:02d}-{k % 7 + 1:04d}" for k in range(2900)]
+    rows = pii.pseudonymise(spark.createDataFrame([(v, v) for v in numbers], "was string, text string")).collect()
+    assert len({r.text for r in rows}) == len(set(numbers))
+    assert all(re.fullmatch(r"(?!000)\d{3}-(?!00)\d\d-(?!0000)\d{4}", r.text) for r in rows)
+    names = ["Bob", "bob", "BOB", "bOb1", "bob1", "rob", "Rob"]
+    got = {r.was: r.text for r in pii.pseudonymise(spark.createDataFrame([(f"{x}@x.com",) * 2 for x in names], "was string, text string")).collect()}
+    assert got["Bob@x.com"] == got["bob@x.com"] == got["BOB@x.com"] and got["bOb1@x.com"] == got["bob1@x.com"]
+    assert len(set(got.values())) == len({x.lower() for x in names}) == 3
+
+
 # ---- urls
 
+def test_url_of_many_parts_ends(spark):
+    """Sixty tokens that stand in the same urls are one item, and any of them brings its rules."""
+    many = [f"path:{k}" for k in range(60)]
+    rows = [(many + ["a"], "block")] * 12 + [(many + ["b"], "block")] * 8 + [(["a", "c"], "allow")] * 10 + [(["b", "c"], "allow")] * 10
+    rules, merged = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.8, min_urls=10)
+    first = {r.token: r.item for r in merged.collect()}
+    assert {first[t] for t in many} == {"path:0"} and first["c"] == "c" and len(first) == 63
+    got = {(tuple(r.antecedent), r.verdict): (r.confidence, round(r.support * 40)) for r in rules.collect()}
+    assert got == {(("path:0",), "block"): (1.0, 20), (("c",), "allow"): (1.0, 20)}
+    pages = [(k, "http://a.net/" + "/".join(f"p{i}" for i in range(60))) for k in range(30)] + [(99, "http://b.io/p7/zz"), (100, "http://b.io/zz")]
+    judged = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(pages, "page_id int, url string")).collect()}
+    assert judged[0] == judged[99] == "block" and len(judged) == 32
+
+
+def test_merged_rules_equal_those_of_all_tokens(spark):
+    """Judging by items gives what judging by every frequent combination of tokens gives."""
+    draw = random.Random(3)
+    rows = []
+    for _ in range(60):
+        tokens = {t for t in "abcdef" if draw.random() < 0.5}
+        tokens |= {"a2", "a3"} if "a" in tokens else set()
+        rows.append((sorted(tokens), "block" if len(tokens & set("abc")) > 1 else "allow"))
+    plain = []
+    names = ["a", "a2", "a3", *"bcdef"]
+    for size in range(1, 9):
+        for part in combinations(names, size):
+            inside = [v for t, v in rows if set(part) <= set(t)]
+            for verdict in ("allow", "block"):
+                both = inside.count(verdict)
+                if both >= 5 and both / len(inside) >= 0.8:
+                    plain.append((both / len(inside), both / 60, size, verdict, list(part)))
+    rules, merged = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 5 / 60, 0.8)
+    asked = [sorted(x) for x in {tuple(t for t in names if draw.random() < 0.4) for _ in range(80)} if x]
+    sets = spark.createDataFrame([(x,) for x in asked], "tokens array<string>")
+    got = {tuple(r.tokens): r.mined for r in urls._match(urls.items_of(sets, merged, "tokens").select("tokens", "items"), rules).collect()}
+    for x in asked:
+        fitting = [p for p in plain if set(p[4]) <= set(x)]
+        best = max(fitting)[:2] if fitting else None
+        assert (got.get(tuple(x)) is None) == (best is None)
+        if best:
+            assert got[tuple(x)] in {p[3] for p in fitting if p[:2] == best}
+
+
 def test_url_parts_and_fixed_rules(spark):
     cases = {"http://Sub.Example.NET/en/1?x#y": ("sub.example.net", "/en/1", "example.net/en/"), "https://a.net": ("a.net", "", None),
              "https://a.net/": ("a.net", "/", "net/"), "x://evilnet/": ("evilnet", "/", None), "http://example.com/de/?q": ("example.com", "/de/", "example.com/de/"),
@@ -225,6 +296,52 @@ def test_base_counts_equal_brute_force(spark, small):
         assert not (failed and r.kept)
 
 
+def _plain_shares(counts):
+    total = sum(counts)
+    return [c / total for c in counts] if total else None
+
+
+def _plain_distance(p, q):
+    if p is None or q is None:
+        return None
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    return max(0.0, sum(x * np.log2(x / y) for d in (p, q) for x, y in zip(d, m) if x > 0) / 2) ** 0.5
+
+
+def test_verdicts_equal_brute_force(spark, small, edge_docs):
+    """``kept`` of whole tables, from plain histograms of every language."""
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source")
+    for docs in (table, edge_docs.select("doc_id", "text", "lang", "source")):
+        rows = [(r.doc_id, r.lang, r.text or "") for r in docs.collect()]
+        classes, words = defaultdict(lambda: [0] * 5), defaultdict(Counter)
+
+        def count_classes(text):
+            chars = [c for w in WORD.findall(text) for c in w]
+            kinds = [0 if unicodedata.category(c) == "Lu" else 1 if unicodedata.category(c)[0] == "L" else 2 if unicodedata.category(c) == "Nd"
+                     else 3 if c in "#*$%&|<>" else 4 for c in chars]
+            return [kinds.count(k) for k in range(5)]
+
+        for _, lang, text in rows:
+            classes[lang] = [a + b for a, b in zip(classes[lang], count_classes(text))]
+            words[lang].update(WORD.findall(text.lower()))
+        want = Counter()
+        for i, lang, text in rows:
+            top = sorted(((-n, w) for w, n in words[lang].items() if len(w) <= 5))[:16]
+            total = sum(words[lang].values())
+            said = WORD.findall(text)
+            own = Counter(WORD.findall(text.lower()))
+            mine = [own[w] for _, w in top]
+            windows = Counter(tuple(said[k:k + 3]) for k in range(len(said) - 2))
+            inside = {k + d for k in range(len(said) - 2) if windows[tuple(said[k:k + 3])] > 1 for d in range(3)}
+            failed = len(said) < 50 or 100 * len(inside) > 50 * len(said)
+            reference = [-n for n, _ in top]
+            near = [_plain_distance(_plain_shares(count_classes(text)), _plain_shares(classes[lang])),
+                    _plain_distance(_plain_shares(mine + [len(said) - sum(mine)]), _plain_shares(reference + [total - sum(reference)]))]
+            far = [d is not None and d > limit for d, limit in zip(near, (quality_rules.MAX_CLASS_DISTANCE, quality_rules.MAX_WORD_DISTANCE))]
+            want[(i, failed, not failed and not any(far))] += 1
+        assert Counter((r.doc_id, r.base_failed, r.kept) for r in quality_rules.judge_documents(docs).collect()) == want
+
+
 def test_distance_is_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     row = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
@@ -282,6 +399,20 @@ def test_leaks_against_plain_search(spark, small, edge_docs, no_docs, monkeypatc
     assert decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_equal_tiling_of_every_pair(spark, small):
+    """The seeds lose no pair: every text tiled with every item, repeated seeds and equal items among them."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    items += [(90_000, "one two three four five " * 8), (90_001, "one two three four five " * 8), (90_002, "a b c d"), (90_003, None),
+              (90_004, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    texts += [(80_000, "one two three four five " * 5), (80_001, "six one two three four five"), (80_002, "alpha beta gamma delta epsilon"),
+              (80_003, "eta theta iota kappa x alpha beta gamma delta"), (80_004, None), (80_004, "alpha beta gamma delta epsilon")]
+    every = decontamination.Items([i for i in items if i[1]], decontamination.MIN_COVERAGE)
+    want = sorted((i, leak["item"], leak["covered"]) for i, t in texts for leak in every.leaks(t))
+    got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.covered_words) for r in got.collect()) == want and len(want) > 5
+
+
 # ---- quality classifier
 
 def test_machine_pairs_equal_the_double_sum():
