@@ -11,6 +11,8 @@ from bindmill.operators import moments
 from bindmill.operators.vectors import vector_hygiene
 from bindmill.session import durable
 
+SPREAD = 1024  # join keys that rows without a key are dealt to
+
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
     """Feature columns as one array of doubles; other columns stay."""
@@ -105,8 +107,19 @@ def attach_per_distinct(df: DataFrame, key: str, compute: Callable[[Iterable], I
 
     ``compute`` maps an iterator of pandas frames with the key column to frames
     of ``schema`` (key included). Keys containing ``skip`` are not computed.
+    Keys meet by a hash of 128 bits, so texts are exchanged once, where they
+    are made distinct; missing keys are spread over ``SPREAD`` places.
     """
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    def mark(c: Column) -> Column:
+        return F.md5(c.cast("string"))
+
+    asked = df.filter(F.col(key).isNotNull()).select(mark(F.col(key)).alias("_mark"), key)
     if skip is not None:
-        keys = keys.filter(~F.col(key).contains(skip))
-    return df.join(keys.mapInPandas(compute, schema), key, "left")
+        asked = asked.filter(~F.col(key).contains(skip))
+    keys = asked.groupBy("_mark").agg(F.first(key).alias(key)).select(key)
+    done = keys.mapInPandas(compute, schema)
+    made = done.withColumn("_mark", mark(F.col(key))).drop(key)
+    nowhere = F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))
+    marked = df.withColumn("_mark", F.coalesce(mark(F.col(key)), nowhere))
+    return marked.join(made, "_mark", "left").select(key, *[c for c in df.columns if c != key],
+                                                     *[c for c in made.columns if c != "_mark"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindmill.operators import metrics, models, networks, scaling, splitting
 from bindmill.queries.common import r6, table
+from bindmill.queries.splitting import _parts
 from bindmill.session import durable
 
 FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_marks", "mean_word"]
@@ -34,6 +35,12 @@ def _report(model, rows: DataFrame) -> DataFrame:
     return metrics.evaluate(scored, "split", "label", "predicted_proba").withColumns({c: r6(c) for c in SCORES})
 
 
+def labelled_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and positives of every split that the classifiers are trained and scored on."""
+    positive = F.count_if(F.col("quality") == 1)
+    return _rows(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), positive.alias("n_positive"))
+
+
 def boosted_tree_report(spark: SparkSession, folder: str, params: dict = TREE) -> DataFrame:
     rows = _rows(spark, folder)
     train = models.with_vector(rows, "quality").filter("split = 'train'")
@@ -60,6 +67,10 @@ def selected_network_report(spark: SparkSession, folder: str, trials: int = TRIA
     return _report(models.search_networks(rows, "quality", models.draw_network_params(trials, ranges=ranges))[0], rows)
 
 
-QUERIES = {f.__name__: f for f in (boosted_tree_report, feed_forward_report, selected_model_report,
+QUERIES = {f.__name__: f for f in (labelled_splits, boosted_tree_report, feed_forward_report, selected_model_report,
                                      selected_network_report)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "labelled_splits": f"""
+WITH r AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)), s AS ({_parts("r", "doc_id", "0.10", "0.1111")})
+SELECT split, count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_positive FROM s GROUP BY split""",
+}

@@ -142,6 +142,13 @@ def pca_variance(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(vectors.explained_variance(_embeddings(spark, folder), "embedding", 50), "share", "cumulative")
 
 
+def pca_two_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Variance shares of the two components of two columns, which have a closed form."""
+    pair = F.array(F.col("l_quantity").cast("double"), (F.col("l_extendedprice") / 1000).cast("double"))
+    lines = table(spark, folder, "lineitem").select(pair.alias("v"))
+    return _rounded(vectors.explained_variance(lines, "v", 2), "share", "cumulative").withColumn("pc", big("pc"))
+
+
 def components_needed(spark: SparkSession, folder: str) -> DataFrame:
     variance = vectors.explained_variance(_embeddings(spark, folder), "embedding", 50)
     return vectors.components_needed(variance, 50)
@@ -164,7 +171,7 @@ QUERIES = {f.__name__: f for f in (
     dimension_stats, vector_hygiene, near_constant, top_variance, norm_stats, norm_by_label, mean_vectors, dimension_correlations,
     correlation_summary, vector_export, protein_cosines, feature_cosines, text_tanimoto, near_duplicate_vectors,
     near_duplicate_texts, pooled_tokens,
-    per_distinct_features, pca_variance, components_needed,
+    per_distinct_features, pca_variance, pca_two_columns, components_needed,
     brands_needed, pca_scores)}
 
 _LONG = """
@@ -233,6 +240,12 @@ v AS (SELECT doc_id AS k, list_distinct(list_transform(range(1, greatest(len(w),
         ('0x' || substr(md5(w[i] || ' ' || w[i + 1]), 1, 6))::INT % 2048)) AS b FROM d)""" + _pairs(
         "v", "CASE WHEN len(a.b) + len(b.b) = 0 THEN 1 ELSE len(list_intersect(a.b, b.b))::DOUBLE / "
              "(len(a.b) + len(b.b) - len(list_intersect(a.b, b.b))) END", (0.2, 0.4)),
+    "pca_two_columns": """
+WITH x AS (SELECT l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE / 1000 AS b FROM lineitem),
+m AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM x),
+e AS (SELECT (va + vb) / 2 AS h, sqrt(((va - vb) / 2) ** 2 + c ** 2) AS d FROM m)
+SELECT 1::BIGINT AS pc, round((h + d) / (2 * h), 6) AS share, round((h + d) / (2 * h), 6) AS cumulative FROM e
+UNION ALL SELECT 2, round((h - d) / (2 * h), 6), 1.0::DOUBLE FROM e""",
     "near_duplicate_vectors": f"""
 WITH RECURSIVE d AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS k FROM embeddings GROUP BY ALL),
 p AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.k < b.k

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from bindmill.functions.scalars import digits_to_int, entry_of_file, fixed_field
+from bindmill.session import durable
 
 ROW_BITS = 33  # of a monotonically increasing id, below the number of the task
 
@@ -54,10 +55,14 @@ def clean_records(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def numbering_gate(lines: DataFrame) -> DataFrame:
-    """Drop every file in which a coordinate record has no whole residue number."""
+    """Drop every file in which a coordinate record has no whole residue number.
+
+    The names of such files are stored first. Their size is then known, so Spark sends them to the tasks that read the
+    lines if they are few, and lines are exchanged by file only if they are not.
+    """
     line = F.col("value")
     bad = lines.filter(_is_coordinate(line) & ~fixed_field(line, 23, 26).rlike(r"^[+-]?[0-9]+$"))
-    return lines.join(bad.select("file_name").distinct(), "file_name", "left_anti")
+    return lines.join(durable(bad.select("file_name").distinct()), "file_name", "left_anti")
 
 
 def parse_dbref(lines: DataFrame, strict: bool = False) -> DataFrame:
@@ -141,13 +146,17 @@ def cif_reject_reasons(files: DataFrame, lines: DataFrame, atoms: DataFrame) ->
 
 
 def admit_cif(atoms: DataFrame) -> DataFrame:
-    return atoms.join(cif_rejects(atoms), "file_name", "left_anti")
+    """Rows of the files that ``cif_rejects`` does not name; the names are stored first, as in ``numbering_gate``."""
+    return atoms.join(durable(cif_rejects(atoms)), "file_name", "left_anti")
 
 
 def prune_ligands(lines: DataFrame, valid: DataFrame, key: str = "ligand_id") -> DataFrame:
-    """Keep every line except hetero records of ligands that are not in ``valid``."""
-    hetero = F.col("value").startswith("HETATM")
-    code = F.when(hetero, fixed_field("value", 18, 20))
-    known = valid.select(F.col(key).alias("_ligand")).distinct()
-    kept = lines.filter(hetero).withColumn("_ligand", code).join(known, "_ligand", "left_semi")
-    return lines.filter(~hetero).unionByName(kept.drop("_ligand"))
+    """Keep every line except hetero records of ligands that are not in ``valid``.
+
+    One reading of the lines: the codes, of at most three characters each, are stored first and go to the tasks that
+    read the lines if Spark finds them small enough.
+    """
+    code = F.when(F.col("value").startswith("HETATM"), fixed_field("value", 18, 20))
+    known = durable(valid.select(F.col(key).alias("_ligand")).where(F.length("_ligand") <= 3).distinct())
+    told = lines.withColumn("_code", code).join(known, F.col("_code") == F.col("_ligand"), "left")
+    return told.where(~F.col("value").startswith("HETATM") | F.col("_ligand").isNotNull()).drop("_code", "_ligand")
