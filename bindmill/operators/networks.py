@@ -174,7 +174,8 @@ def _epoch(rows: DataFrame, networks: dict[int, Network], is_train: Column, labe
     if rows.rdd.getNumPartitions() > FAN:
         parts = parts.groupBy("number", "fan").applyInPandas(add, schema)
     told = parts.groupBy("number").applyInPandas(add, schema).collect()  # a row per network
-    return {r["number"]: (np.array(r["state"]) / max(r["n_train"], 1), r["loss"] / max(r["n_val"], 1)) for r in told}
+    return {r["number"]: (np.array(r["state"]) / r["n_train"] if r["n_train"] else networks[r["number"]].state(),
+                          r["loss"] / max(r["n_val"], 1)) for r in told}
 
 
 def fit_networks(rows: DataFrame, label: str, candidates: list[dict], split: str = "split", train: str = "train",

@@ -57,6 +57,8 @@ def test_network_is_as_good_as_the_library_s(rows):
     test = models.with_vector(rows.filter("split = 'test'"), "y")
     for one in network:
         assert models.validation_f1(one, test) >= models.validation_f1(library, test) - 0.02 > 0.8
+    untrained = fit_networks(rows.where("split = 'val'"), "y", [{**asked, "epochs": 2}])[0]
+    assert (untrained.theta == Network(asked, 3).theta).all()
     none = fit_networks(rows.where("false"), "y", [asked])
     assert len(none) == 1 and none[0].sizes == [1, 16, 1]
 
