@@ -148,9 +148,18 @@ def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 PAIR = T.StructType().add("a", "binary").add("b", "binary").add("similar", "boolean")
 
 
-def _components(fine: pd.Series) -> np.ndarray:
-    packed = np.frombuffer(b"".join(fine), np.uint8).reshape(len(fine), FINE_SIZE // 2)
-    return np.concatenate([packed >> 4, packed & 15], axis=1)
+def _packed(fine: pd.Series) -> np.ndarray:
+    """Fine sketches as words of sixteen components."""
+    return np.frombuffer(b"".join(fine), np.uint64).reshape(len(fine), FINE_SIZE // 16)
+
+
+def _agreeing(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many components each of the packed rows agrees with ``one``: those whose four bits are all equal."""
+    differ = rows ^ one
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    differ &= np.uint64(0x1111111111111111)
+    return FINE_SIZE - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
 
 
 def _alike_sets(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -169,7 +178,7 @@ def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame, threshold: float) ->
     a, b, similar = [], [], []
     if len(left) and len(right):
         band, main = left["band"].iloc[0], left["main"].iloc[0]
-        x, y = (_components(f["fine"]) for f in (left, right))
+        x, y = (_packed(f["fine"]) for f in (left, right))
         bands_x, bands_y = (np.array(f["bands"].tolist()) for f in (left, right))
         sets_x, sets_y = ([None if e is None else np.frombuffer(e, np.uint64) for e in f["elements"]]
                           for f in (left, right))
@@ -182,7 +191,7 @@ def _compare_tiles(left: pd.DataFrame, right: pd.DataFrame, threshold: float) ->
             if key == pivot:
                 continue  # compared before, as the others are with the pivot below
             apart = np.flatnonzero(own[group] != own[group_x[k]])
-            near = apart[(y[apart] == x[k]).sum(axis=1) >= FINE_AGREE]
+            near = apart[_agreeing(y[apart], x[k]) >= FINE_AGREE]
             for j in near.tolist():
                 if own[group[j]] == own[group_x[k]] or keys[j] == pivot or not (is_main[j] or key < keys[j]):
                     continue

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -619,3 +620,12 @@ def test_repeats_of_awkward_rows(spark, edge_docs, no_docs):
     assert len(got) == 10
     assert {(r.n_removed, r.n_bytes) for r in got if r.doc_id == 2} == {(264, 264)}  # both rows repeat document 1
     assert repeats.remove_repeats(no_docs).count() == 0
+
+
+def test_packed_sketches_count_equal_components():
+    """op7: components of fine sketches are counted sixteen at a time, as one by one."""
+    draw = np.random.default_rng(5)
+    bits = draw.integers(0, 16, (40, near_duplicates.FINE_SIZE)).astype(np.uint8)
+    bits[1:30, :1600] = bits[0, :1600]
+    packed = near_duplicates._packed(pd.Series([(row[::2] << 4 | row[1::2]).tobytes() for row in bits]))
+    assert near_duplicates._agreeing(packed, packed[0]).tolist() == (bits == bits[0]).sum(axis=1).tolist()
