@@ -39,6 +39,7 @@ SHORT = 2000  # shingles of a text that is compared where its sketch is; pairs w
 TILE_LEFT, TILE_RIGHT = 1000, 4000  # members of a band that are held against each other in one task
 KEPT_CHARS = 8_000_000  # of texts whose shingles a task keeps while it checks pairs
 BATCH = 400  # documents whose signatures are made together
+BATCH_CHARS = 500_000  # and their characters; a longer text is alone
 SIGNATURE = T.StructType().add("bands", T.ArrayType(T.LongType())).add("low", "long").add("high", "long")
 
 
@@ -87,6 +88,20 @@ def bag_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
     return earliest.reshape(n, size)
 
 
+def _batches(texts: pd.Series, most: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most ``most`` texts and ``BATCH_CHARS`` characters."""
+    part: list[str] = []
+    held = 0
+    for text in texts:
+        if part and (len(part) == most or held + len(text) > BATCH_CHARS):
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
 def _signature_rows(texts: list[str], hashes: RangeHash) -> list[dict]:
     bags = [shingles(t, hashes) for t in texts]
     sizes = np.array([len(b[0]) for b in bags])
@@ -110,10 +125,8 @@ def _signature_rows(texts: list[str], hashes: RangeHash) -> list[dict]:
 def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = RangeHash()
     for texts in batches:
-        rows: list[dict] = []
-        for begin in range(0, len(texts), BATCH):
-            rows += _signature_rows(texts.iloc[begin:begin + BATCH].tolist(), hashes)
-        yield pd.DataFrame(rows, columns=["bands", "low", "high"])
+        for part in _batches(texts, BATCH):
+            yield pd.DataFrame(_signature_rows(part, hashes), columns=["bands", "low", "high"])
 
 
 FINE = T.StructType().add("fine", "binary").add("elements", "binary")
@@ -132,17 +145,15 @@ def fine_sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Four bits of each of ``FINE_SIZE`` components, two to a byte; the elements of texts that are ``SHORT``."""
     hashes = RangeHash()
     for texts in batches:
-        out: list[tuple[bytes, bytes | None]] = []
-        for begin in range(0, len(texts), BATCH // 8):
-            bags = [shingles(t, hashes) for t in texts.iloc[begin:begin + BATCH // 8]]
+        for part in _batches(texts, BATCH // 8):
+            bags = [shingles(t, hashes) for t in part]
             owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
             signature = bag_minhash(owner, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]),
                                     len(bags), FINE_SIZE)
             bits = (scatter(signature.view(np.uint64)) & np.uint64(15)).astype(np.uint8)
             packed = bits[:, ::2] << 4 | bits[:, 1::2]
-            out += [(row.tobytes(), elements(bag).tobytes() if bag[1].sum() <= SHORT else None)
-                    for row, bag in zip(packed, bags)]
-        yield pd.DataFrame(out, columns=["fine", "elements"])
+            yield pd.DataFrame([(row.tobytes(), elements(bag).tobytes() if bag[1].sum() <= SHORT else None)
+                                for row, bag in zip(packed, bags)], columns=["fine", "elements"])
 
 
 PAIR = T.StructType().add("a", "binary").add("b", "binary").add("similar", "boolean")
@@ -299,8 +310,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of the (a, b) pairs of keys whose texts are similar enough, by the exact check."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    checked = pairs.join(left, "a").join(right, "b").withColumn("similarity", similarity("text_a", "text_b"))
-    return durable(checked.where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
+    # the check is in the filter alone: as a column too it would run twice, in two Python workers of every task
+    checked = pairs.join(left, "a").join(right, "b").where(similarity("text_a", "text_b") >= threshold)
+    return durable(checked.select("a", "b"))
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

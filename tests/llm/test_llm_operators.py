@@ -629,3 +629,29 @@ def test_packed_sketches_count_equal_components():
     bits[1:30, :1600] = bits[0, :1600]
     packed = near_duplicates._packed(pd.Series([(row[::2] << 4 | row[1::2]).tobytes() for row in bits]))
     assert near_duplicates._agreeing(packed, packed[0]).tolist() == (bits == bits[0]).sum(axis=1).tolist()
+
+
+def test_pairs_are_checked_once(spark, monkeypatch):
+    """op7: one Python evaluation in a task of the exact check, so no second worker holds the same texts."""
+    monkeypatch.setattr(near_duplicates, "durable", lambda df: df)
+    text = " ".join(f"w{i}" for i in range(30))
+    texts = spark.createDataFrame([("a", text), ("b", text + " x"), ("c", "other")], "key string, text string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    links = near_duplicates._similar(pairs, texts, 0.8)
+    assert [(r.a, r.b) for r in links.collect()] == [("a", "b")]
+    assert links._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("sketch", ["signature", "fine_sketch"])
+def test_signatures_of_long_texts_are_made_in_bounded_parts(monkeypatch, sketch):
+    """op7: the shingles held at once are bounded, however long the texts of a batch are; the rows are those of each text."""
+    rng, sizes, inner = np.random.default_rng(7), [], near_duplicates.bag_minhash
+    texts = [" ".join(f"word{i}" for i in rng.integers(0, 5000, n)) for n in [20_000] * 12 + [200_000] + [40] * 60] + [""]
+    monkeypatch.setattr(near_duplicates, "bag_minhash", lambda owner, *args: (sizes.append(len(owner)), inner(owner, *args))[1])
+    make = getattr(near_duplicates, sketch).func
+    got = pd.concat(make(iter([pd.Series(texts)])), ignore_index=True)
+    assert max(sizes) <= 200_000 and sorted(sizes)[-2] <= 60_000
+    for k in (0, 11, 12, 13, 72, 73):
+        alone = next(iter(make(iter([pd.Series([texts[k]])]))))
+        assert got.iloc[k].tolist() == alone.iloc[0].tolist()
+    assert len(got) == len(texts)
